@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlake.llm import bpe, leaks, mih, residue
+from quiverlake.llm import bpe, clusters, leaks, mih, residue, subset
 from quiverlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,19 @@ def p2_similar(spark: SparkSession, d: str) -> DataFrame:
     return mih.similar_vectors(table(spark, d, "vectors"), table(spark, d, "tenants"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.mutual_clusters(table(spark, d, "vectors"), table(spark, d, "tenants")).select("tenant_id", "head_id", "id")
+
+
+def p4_described(spark: SparkSession, d: str) -> DataFrame:
+    members = clusters.mutual_clusters(table(spark, d, "vectors"), table(spark, d, "tenants"))
+    return clusters.cluster_descriptions(members).withColumn("typical_ids", F.array_join("typical_ids", ","))
+
+
+def p5_subset(spark: SparkSession, d: str) -> DataFrame:
+    return subset.varied_subset(table(spark, d, "vectors"), table(spark, d, "tenants"))
+
+
 def _byte_bpe() -> tuple[str, str]:
     """Place and pattern of the public vocabulary; raises ImportError without it."""
     import public_tokenizers
@@ -56,7 +69,7 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(scores.items()), "measure string, value double")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_similar, p8_ids, p8_decoded, p9_found, p9_clean, p10_found, p10_validation)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_similar, p4_found, p4_described, p5_subset, p8_ids, p8_decoded, p9_found, p9_clean, p10_found, p10_validation)}
 
 _T = "coalesce(nullif(tenant_id,''),'default')"
 _WORDS = r"regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+')"
@@ -73,5 +86,11 @@ ORACLES: dict[str, str] = {
  near AS (SELECT a.t, a.id, arg_min(b.id, struct_pack(d := round(1 - list_inner_product(a.v, b.v), 12), i := b.id)) AS n, min(1 - list_inner_product(a.v, b.v)) AS d
    FROM u a JOIN u b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2)
  SELECT a.t AS tenant_id, a.id AS id_a, b.id AS id_b FROM near a JOIN near b ON a.t = b.t AND a.n = b.id AND b.n = a.id AND a.id < b.id WHERE a.d <= 0.01""",
+    "p4_found": f"""WITH {_CURRENT},
+ u AS (SELECT t, id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM cur),
+ near AS (SELECT a.t, a.id, b.id AS o FROM u a JOIN u b ON a.t = b.t AND 1 - list_inner_product(a.v, b.v) <= 0.55),
+ sets AS (SELECT t, id, list(o ORDER BY o) AS s FROM near GROUP BY 1, 2),
+ whole AS (SELECT t, s FROM sets GROUP BY 1, 2 HAVING count(*) = len(s) AND len(s) >= 3)
+ SELECT t AS tenant_id, s[1] AS head_id, unnest(s) AS id FROM whole""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
