@@ -37,14 +37,15 @@ _FIELDS = {
 PAYLOAD = ["vec", "extra"]
 
 
-def changes_of(log: DataFrame, payload: Sequence[str] = PAYLOAD) -> DataFrame:
-    """The log's records in the form that runs hold.
+def changes_of(log: DataFrame, payload: Sequence[str] = PAYLOAD, id_type: str = "bigint") -> DataFrame:
+    """The log's records in the form that runs hold; ids are BIGINT, or DECIMAL(20,0) for the whole
+    unsigned range.
 
     Rows without id or seq, and operations other than 1, 2 and 3, change nothing and are left
     out. Columns besides the key, seq, op and the payload are ignored.
     """
     return log.where(F.col("id").isNotNull() & F.col("seq").isNotNull() & F.col("op").isin(INSERT, DELETE, META)).select(
-        tenant_of().alias("tenant_id"), *(F.col(c).cast(_FIELDS[c]).alias(c) for c in ["id", "seq", "op", *payload])
+        tenant_of().alias("tenant_id"), F.col("id").cast(id_type).alias("id"), *(F.col(c).cast(_FIELDS[c]).alias(c) for c in ["seq", "op", *payload])
     )
 
 
@@ -54,12 +55,13 @@ class ChangeRuns:
     n_buckets is fixed at creation. Bucket contents grow with the data, so choose it for the
     expected size (about 128 MB of changes a bucket). payload: the columns kept besides key, seq
     and op; without any, runs are narrow and the state has only its sequence numbers. A compaction
-    follows the append that reaches max_runs.
+    follows the append that reaches max_runs. id_type is as in changes_of.
     """
 
-    def __init__(self, spark: SparkSession, root: str, n_buckets: int, payload: Sequence[str] = PAYLOAD, max_runs: int = 8):
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int, payload: Sequence[str] = PAYLOAD, max_runs: int = 8, id_type: str = "bigint"):
         self.spark, self.root, self.n_buckets, self.payload, self.max_runs = spark, root.rstrip("/"), n_buckets, list(payload), max_runs
         self.columns = [*KEY, "seq", "op", *payload]
+        self._types = {c: id_type if c == "id" else _FIELDS[c].simpleString() for c in self.columns}
         self._prefix = "q_" + re.sub(r"\W", "_", self.root)[-80:]
 
     def _names(self, path: str) -> list[str]:
@@ -83,7 +85,7 @@ class ChangeRuns:
         """The version's table, made known to this session's catalog."""
         name = f"{self._prefix}_v{version:08d}"
         if not self.spark.catalog.tableExists(name):
-            columns = ", ".join(f"{c} {_FIELDS[c].simpleString()}" for c in self.columns)
+            columns = ", ".join(f"{c} {t}" for c, t in self._types.items())
             self.spark.sql(
                 f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS ('parquet.enable.dictionary#vec.list.element' 'false') "
                 f"CLUSTERED BY ({', '.join(KEY)}) SORTED BY ({', '.join([*KEY, 'seq'])}) INTO {self.n_buckets} BUCKETS LOCATION '{self._path(version)}'"
@@ -106,7 +108,7 @@ class ChangeRuns:
         """All records of the committed runs, partitioned by key."""
         version = self.version()
         if not version:
-            return self.spark.createDataFrame([], T.StructType([T.StructField(c, _FIELDS[c]) for c in self.columns]))
+            return self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in self._types.items()))
         table = self._table(version)
         self.spark.catalog.refreshTable(table)
         return self.spark.table(table)
