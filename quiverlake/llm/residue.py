@@ -31,6 +31,8 @@ HELD_OUT = 20
 BITS = 18
 #: Part of a document's words that must stand in residue units.
 RESIDUE_SHARE = 0.7
+#: Score from which a unit holds a placeholder; below 0, as a missed one costs more than a false one.
+PLACEHOLDER_CUT = -1.0
 
 # Weak labels. Phrases in normal form (see normal), by kind.
 ERROR_PHRASES = (
@@ -163,8 +165,9 @@ def _shape(token: str) -> str:
 _KNOWN = frozenset("insert here your todo votre ici einsetzen object php echo if upper lt gt s d".split()) | frozenset(t for t in TAGS if len(t) > 1)
 
 
-def features(unit: str, place: int, n_units: int) -> tuple[list[int], list[int]]:
-    """Hashed features of a unit for the placeholder model and for the residue model."""
+def features(unit: str, place: int, n_units: int) -> tuple[list[int], list[int], list[int]]:
+    """Hashed features of a unit: for the placeholder model, and for the residue model those of
+    its wording and those of its length and place."""
     mask = (1 << BITS) - 1
     tokens = _TOKEN.findall(unit)
     shapes = [_shape(t) for t in tokens]
@@ -180,14 +183,15 @@ def features(unit: str, place: int, n_units: int) -> tuple[list[int], list[int]]
     for n in (1, 2):
         for i in range(len(ws) - n + 1):
             says.add(zlib.crc32(" ".join(ws[i : i + n]).encode()) & mask)
-    extra = [f"len{min(9, len(ws).bit_length())}", f"rep{min(6, int(repeats(ws)))}", f"latin{sum(w in _LATIN for w in ws) * 3 // max(1, len(ws))}"]
+    outer = [f"len{min(9, len(ws).bit_length())}"]
+    extra = [f"rep{min(6, int(repeats(ws)))}", f"latin{sum(w in _LATIN for w in ws) * 3 // max(1, len(ws))}"]
     if place == 0:
-        extra.append("title" if unit[-1:] not in ".!?" else "first")
-        extra.append("only" if n_units == 1 else "more")
+        outer.append("title" if unit[-1:] not in ".!?" else "first")
+        outer.append("only" if n_units == 1 else "more")
     if not ws:
         extra.append("symbols" + str(min(3, len(unit) // 4)))
     says.update(zlib.crc32(f"\x02{x}".encode()) & mask for x in extra)
-    return list(holes), list(says)
+    return list(holes), list(says), [zlib.crc32(f"\x02{x}".encode()) & mask for x in outer]
 
 
 @dataclass
@@ -207,12 +211,13 @@ class Model:
         us = units(text)
         most, inside, total = -99.0, 0, 0
         for k, u in enumerate(us):
-            h, s = features(u, k, len(us))
+            h, s, o = features(u, k, len(us))
             if h:
                 most = max(most, float(self.holes[h].sum()) + self.hole_bias)
             n = max(1, len(u.split()))
             total += n
-            if float(self.says[s].sum()) + self.say_bias > 0:
+            wording = float(self.says[s].sum())
+            if wording > 0 and wording + float(self.says[o].sum()) + self.say_bias > 0:  # length and place alone say nothing
                 inside += n
         return most, inside / max(1, total)
 
@@ -271,10 +276,10 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
         us = [text] if source is None else units(text)
         held = source is not None and zlib.crc32(source.encode()) % 100 < HELD_OUT
         for k, u in enumerate(us):
-            h, s = features(u, k, len(us))
+            h, s, o = features(u, k, len(us))
             a, b = weak_labels(u)
             holes.append(h)
-            says.append(s)
+            says.append(s + o)
             yh.append(a)
             ys.append(b)
             out.append(held)
@@ -302,7 +307,7 @@ def judge_residue(docs: DataFrame, model: Model, residue_share: float = RESIDUE_
         m = shared.value
         for b in batches:
             seen = [m.judge(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h > 0 for h, _ in seen], pa.bool_()), pa.array([r >= residue_share for _, r in seen], pa.bool_())], names=["doc_id", "placeholder", "residue"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h > PLACEHOLDER_CUT for h, _ in seen], pa.bool_()), pa.array([r >= residue_share for _, r in seen], pa.bool_())], names=["doc_id", "placeholder", "residue"])
 
     fields = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("placeholder", T.BooleanType()), T.StructField("residue", T.BooleanType())])
     return docs.select("doc_id", "text").mapInArrow(run, fields)

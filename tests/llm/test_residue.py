@@ -44,7 +44,7 @@ def test_weak_labels():
 
 
 def test_tables(spark, model):
-    data = [(1, BAD[0]), (2, PLAIN[0]), (3, None), (4, ""), (5, " \t\n"), (1, BAD[0]), (None, BAD[3]), (6, PLAIN[0] * 20_000), (7, "x" * 200_000)]
+    data = [(1, BAD[0]), (2, PLAIN[0]), (3, None), (4, ""), (5, " \t\n"), (1, BAD[0]), (None, BAD[3]), (6, PLAIN[0] * 20_000), (7, "".join(f"The wheel number {i} warms the shelf near the harbour. " for i in range(5000)))]
     docs = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("source", F.lit(None).cast("string")).withColumn("residue", F.lit(0))
     assert rows(residue_documents(docs, model)) == [(1,), (1,), (None,)]
     assert judge_residue(docs, model).count() == len(data)
