@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quiverlake.operators.search import _exact, query_pieces
 
@@ -171,13 +172,13 @@ def search_graphs(queries: DataFrame, graphs: DataFrame, k: int, metric: str = "
     out = None
     for piece in query_pieces(queries):
         shared = spark.sparkContext.broadcast([(r[0], np.array(r[1], np.float64)) for r in piece])
-        part = rows.groupBy("shard").applyInArrow(_searcher(shared, k, metric, ef), fields)
+        part = rows.groupBy("shard").applyInArrow(_searcher(shared, k, metric, ef, to_arrow_type(fields[0].dataType)), fields)
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query_id").orderBy("score", "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _searcher(shared, k: int, metric: str, ef: int):
+def _searcher(shared, k: int, metric: str, ef: int, query_type: pa.DataType):
     """The search of one shard's graph rows for all queries."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -192,7 +193,7 @@ def _searcher(shared, k: int, metric: str, ef: int):
             q += [qid] * len(found)
             at += found
             score += _exact(metric, v[None], x[found]).tolist() if found else []
-        return pa.table({"query_id": pa.array(q), "id": ids.take(pa.array(at, pa.int64())), "score": pa.array(score, pa.float64())})
+        return pa.table({"query_id": pa.array(q, query_type), "id": ids.take(pa.array(at, pa.int64())), "score": pa.array(score, pa.float64())})
 
     return run
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quiverlake.operators.search import _exact, check_top_k, query_pieces
 
@@ -219,7 +220,7 @@ def code_search(queries: DataFrame, codes: DataFrame, book: Codebook, k: int, li
                     for i in range(m):
                         s += t[i][c[at, i]]
                     few = _first(s, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(few)), b.column(0).take(pa.array(at[few])), pa.array(s[few])], names=["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(few), to_arrow_type(fields[0].dataType)), b.column(0).take(pa.array(at[few])), pa.array(s[few])], names=["query_id", "id", "score"])
 
         part = good.mapInArrow(run, T.StructType(fields))
         out = part if out is None else out.unionByName(part)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quiverlake.functions.distance import METRICS, distance
 from quiverlake.functions.filters import Clause, matches
@@ -132,7 +133,7 @@ def knn_join(queries: DataFrame, collection: DataFrame, k: int, metric: str = "c
                         near = np.argpartition(s, few - 1, axis=1)[:, :few] if few < len(part) else np.tile(np.arange(len(part)), (len(qs), 1))
                         rows_at = at[part[near.ravel()]]
                         score = np.concatenate([_exact(metric, q[i][None], x[part[near[i]]]) for i in range(len(qs))])
-                        cols = [pa.array([qs[i][0] for i in np.repeat(np.arange(len(qs)), few)]), b.column(0).take(pa.array(rows_at)), pa.array(score)]
+                        cols = [pa.array([qs[i][0] for i in np.repeat(np.arange(len(qs)), few)], to_arrow_type(qtype)), b.column(0).take(pa.array(rows_at)), pa.array(score)]
                         if by:
                             cols.append(b.column(2).take(pa.array(rows_at)))
                         yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
