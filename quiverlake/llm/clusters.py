@@ -306,8 +306,11 @@ def mutual_clusters(vectors: DataFrame, tenants: DataFrame, limit: float = LIMIT
     if not nodes.isEmpty():
         labelled = rows.join(nodes, "tenant_id").join(steps.where(F.col("kind") == _MEMBER).select("tenant_id", "id", "leaf"), ["tenant_id", "id"])
 
+        cols = ["tenant_id", "n1", "n2", "dim", "vec", "leaf"]
+
         def node_pair(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
             tenant, n1, n2 = (k.as_py() for k in key)
+            b = b.rename_columns(cols)
             if not a.num_rows or not b.num_rows:
                 return _step_table(tenant, _EDGE, node=[])
             sides = []
@@ -323,11 +326,10 @@ def mutual_clusters(vectors: DataFrame, tenants: DataFrame, limit: float = LIMIT
             i, j = [e[0] for e in edges], [e[1] for e in edges]
             return _step_table(tenant, _EDGE, node=[n1] * len(i), leaf=i, node2=[n2] * len(i), leaf2=j, size=sa[i] if i else [], size2=sb[j] if j else [], every=[e[2] for e in edges])
 
-        cols = ["tenant_id", "n1", "n2", "dim", "vec", "leaf"]
         left = labelled.withColumn("n1", F.col("node")).withColumn("n2", F.explode(F.filter("nodes", lambda m: m > F.col("node")))).select(*cols)
-        right = labelled.withColumn("n2", F.col("node")).withColumn("n1", F.explode(F.filter("nodes", lambda m: m < F.col("node")))).select(*cols)
-        keys = ["tenant_id", "n1", "n2"]
-        facts = facts.unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(node_pair, _STEP))
+        right = labelled.withColumn("n2", F.col("node")).withColumn("n1", F.explode(F.filter("nodes", lambda m: m < F.col("node")))).select(*(F.col(c).alias(f"r_{c}") for c in cols))
+        pairs = left.groupBy(*cols[:3]).cogroup(right.groupBy(*(f"r_{c}" for c in cols[:3])))
+        facts = facts.unionByName(pairs.applyInArrow(node_pair, _STEP))
 
     def join_leaves(key: tuple, t: pa.Table) -> pa.Table:
         name = {}

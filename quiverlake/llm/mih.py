@@ -32,8 +32,9 @@ BLOCK_ROWS = 32768
 #: Bits by which a tenant is split at most.
 MAX_SPLIT = 24
 SUBSTRING = 16
-#: Bits of a code, a multiple of 64.
+#: Bits of a code, a multiple of 64: for k nearest, and for close pairs.
 BITS = 192
+PAIR_BITS = 384
 #: Candidate pairs expanded at once.
 CHUNK = 1 << 21
 #: Largest radius in which a query's substrings are looked up.
@@ -100,8 +101,8 @@ def residual_codes(x: np.ndarray, seed: int = 7) -> np.ndarray:
     kept = axes[:, var <= 1.5 * np.median(var)]
     k = kept.shape[1]
     rng = np.random.default_rng(seed)
-    turns = [np.linalg.qr(rng.standard_normal((k, k)))[0] for _ in range(-(-BITS // k))]
-    planes = (kept @ np.hstack(turns)[:, :BITS]).astype(np.float32)
+    turns = [np.linalg.qr(rng.standard_normal((k, k)))[0] for _ in range(-(-PAIR_BITS // k))]
+    planes = (kept @ np.hstack(turns)[:, :PAIR_BITS]).astype(np.float32)
     return np.packbits((x - mean) @ planes > 0, axis=1, bitorder="little").view(np.uint64)
 
 
@@ -335,12 +336,12 @@ def _blocked(rows: DataFrame, rotations: dict[int, Rotation], margin: float, blo
 _PAIR = "tenant_id string, id bigint, near_id bigint, distance double"
 
 
-def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, most: int = 48, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, most: int = 112, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(tenant_id, id, near_id, distance): of each current vector its nearest other one of the
     tenant, if it is at cosine distance up to limit; ties go to the smallest id.
 
-    Codes at most ``most`` of 192 bits apart of which some substring differs in one bit at most are
-    compared by their floats; all codes less than 24 bits apart are among them. Null ids and unusable vectors (see usable_rows) have no part. Repeated rows count
+    Codes at most ``most`` of 384 bits apart of which some substring differs in one bit at most are
+    compared by their floats; all codes less than 48 bits apart are among them. Null ids and unusable vectors (see usable_rows) have no part. Repeated rows count
     once. Empty tables give no rows.
     """
     margin = float(np.sqrt(2 * limit)) * 1.0001

@@ -63,7 +63,7 @@ def nearest_truth(x, ids, limit):
 def test_mutual_pairs_equal_brute_force(spark, block_rows):
     rng = np.random.default_rng(4)
     data, want = [], set()
-    for tenant, n, dim in (("a", 1500, 24), ("b", 40, 48), (None, 3, 5)):
+    for tenant, n, dim in (("a", 1500, 24), ("b", 40, 48), (None, 12, 5)):
         x = groups(rng, n, dim, 5)
         close = rng.permutation(n)[: n // 10]
         near = (x[close] + 0.02 * np.abs(x[close]).mean() * rng.normal(size=(len(close), dim))).astype(np.float32)
@@ -133,13 +133,17 @@ def cluster_truth(x, ids, limit):
 def test_clusters_equal_brute_force(spark, node_rows):
     rng = np.random.default_rng(3)
     data, want = [], set()
-    for tenant, spread in (("a", 0.5), ("b", 0.9), ("c", 1.15)):  # apart, wide, and overlapping
-        x = np.vstack([groups(rng, 500, 24, 8, spread), rng.normal(size=(40, 24)).astype(np.float32)])
+    axes = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    for tenant, spread in (("a", 0.3), ("b", 0.45), ("c", 0.6)):  # tight, wide, and too wide in part
+        own = axes[rng.integers(8, size=500)] + spread / np.sqrt(24) * rng.normal(size=(500, 24))
+        x = np.vstack([own, axes[10:16], -axes[2:3]])
+        if tenant == "b":
+            x = np.vstack([x, axes[:1] + axes[1:2]])  # near two groups, which are no clusters then
         ids = [int(i) for i in rng.permutation(10_000)[: len(x)]]
         data += [(tenant, i, v) for i, v in zip(ids, x)]
-        want |= {(tenant, *c) for c in cluster_truth(x, ids, 0.55)}
+        want |= {(tenant, *c) for c in cluster_truth(x.astype(np.float32), ids, 0.55)}
     got = clusters.mutual_clusters(vectors(spark, data).repartition(4), tenants(spark, ("a", 24), ("b", 24), ("c", 24)), node_rows=node_rows).cache()
-    assert rows(got.select("tenant_id", "head_id", "id")) == sorted(want, key=repr) and len(want) > 400
+    assert rows(got.select("tenant_id", "head_id", "id")) == sorted(want, key=repr) and len(want) > 600
     told = clusters.cluster_descriptions(got, 3).collect()
     sizes = {(t, h): sum(1 for w in want if w[:2] == (t, h)) for t, h, _ in want}
     assert {(r["tenant_id"], r["head_id"]): r["size"] for r in told} == sizes
