@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,22 +18,17 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], rule: str =
     """Values at positions of the sorted column, without interpolation.
 
     Rule ``run`` takes index floor(n * p), rule ``load`` index floor(p * (n - 1)), both from 0.
-    Nulls don't count. Ranks are counted by value first, so that equal values are one row.
+    Nulls don't count. Equal values are counted before they are sorted; the running count streams over
+    a group's sorted values, which may spill, and is never held as a whole.
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("q_n"))
-
-    def wanted(p: float) -> Column:
-        n = F.col("q_total")
-        at = F.floor(n * p) if rule == "run" else F.floor((n - 1) * p)
-        return F.least(at, n - 1)
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("q_n").alias("n"))))
-    grouped = counts.groupBy(*by).agg(ordered.alias("q_all"), F.sum("q_n").alias("q_total"))
+    w = Window.partitionBy(*by)
+    running = counts.withColumn("q_seen", F.sum("q_n").over(w.orderBy(value))).withColumn("q_total", F.sum("q_n").over(w))
 
     def at(p: float) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast(df.schema[value].dataType).alias("v"))
-        step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["seen"] <= wanted(p), x["v"]).otherwise(s["v"]).alias("v"))
-        return F.aggregate("q_all", start, step)["v"]
+        n = F.col("q_total")
+        index = F.least(F.floor(n * p) if rule == "run" else F.floor((n - 1) * p), n - 1)
+        return F.min(F.when(F.col("q_seen") > index, F.col(value)))
 
-    return grouped.select(*by, *(at(p).alias(name) for name, p in points.items()))
+    return running.groupBy(*by).agg(*(at(p).alias(name) for name, p in points.items()))

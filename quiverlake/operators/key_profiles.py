@@ -33,6 +33,6 @@ def heavy_keys(rows: DataFrame, key: Column, share: float, name: str = "tenant_i
     total = sizes.agg(F.sum("n_rows").alias("q_total"))
     # The total is one row, so the broadcast has a fixed size.
     return (
-        sizes.join(F.broadcast(total), F.col("n_rows") >= F.lit(share) * F.col("q_total"))
+        sizes.join(F.broadcast(total), F.col("n_rows") >= F.lit(share * (1 - 1e-12)) * F.col("q_total"))  # a share met exactly counts
         .select(name, "n_rows", (F.col("n_rows") / F.col("q_total")).alias("share"))
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quiverlake.operators.sampling import hashed_sample
 from quiverlake.operators.search import _exact, check_top_k, query_pieces
 
 MAX_CENTROIDS = 256
@@ -132,7 +133,7 @@ def train_codebook(vectors: DataFrame, subspaces: int, centroids: int, sample_ro
 
 
 def sample(vectors: DataFrame, rows: int) -> np.ndarray:
-    picked = vectors.where(F.col("vec").isNotNull()).select("vec", F.xxhash64("id", "vec").alias("q_h")).orderBy("q_h").limit(rows).select("vec").toArrow()
+    picked = hashed_sample(vectors.where(F.col("vec").isNotNull()).select("id", "vec"), rows).select("vec").toArrow()
     return np.array(picked.column(0).to_pylist(), np.float64)
 
 

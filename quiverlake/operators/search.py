@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -159,3 +159,37 @@ def top_k_per(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int)
     """The first k rows of each group; the limit is applied before the shuffle too."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Bytes of vectors that the SQL table function may hold.
+MAX_FUNCTION_BYTES = 256 << 20
+
+
+def register_knn(spark: SparkSession, collection: DataFrame, metric: str = "cosine", name: str = "knn") -> None:
+    """Make ``SELECT q.id, n.* FROM queries q, LATERAL knn(q.vec, 10) n`` available in SQL: a table
+    function that gives (id, score, rank) of the nearest rows of a small collection.
+
+    The collection is broadcast, so one over MAX_FUNCTION_BYTES is refused; knn_join takes any size.
+    """
+    rows = collection.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "vec")
+    size = rows.agg(F.sum(F.size("vec").cast("bigint") * 4)).first()[0] or 0
+    if size > MAX_FUNCTION_BYTES:
+        raise ValueError("the collection is too large for a table function; use knn_join")
+    held: dict[int, tuple[list, list]] = {}
+    for r in rows.orderBy("id").toLocalIterator():
+        ids, vecs = held.setdefault(len(r["vec"]), ([], []))
+        ids.append(r["id"])
+        vecs.append(r["vec"])
+    shared = spark.sparkContext.broadcast({n: (np.array(i, np.int64), np.array(v, np.float64).reshape(len(i), n)) for n, (i, v) in held.items()})
+
+    @F.udtf(returnType="id bigint, score double, rank int")
+    class Nearest:
+        def eval(self, query, k):
+            if query is None or len(query) not in shared.value:
+                return
+            ids, x = shared.value[len(query)]
+            score = _exact(metric, np.array(query, np.float64)[None], x)
+            for rank, i in enumerate(np.lexsort((ids, score))[:k], 1):
+                yield int(ids[i]), float(score[i]), rank
+
+    spark.udtf.register(name, Nearest)

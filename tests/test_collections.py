@@ -65,6 +65,16 @@ def test_scatter_gather_and_search(spark):
     assert "TakeOrderedAndProject" in search.search(c, [1.0] * 4, 3)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_table_function(spark):
+    x = np.random.default_rng(3).normal(size=(30, 4)).astype(np.float32)
+    c = frame(spark, x)
+    search.register_knn(spark, c, "l2")
+    c.createOrReplaceTempView("t_queries")
+    got = rows(spark.sql("SELECT q.id AS query_id, n.rank, n.id, n.score FROM t_queries q, LATERAL knn(q.vec, 3) n"))
+    want = rows(search.knn_join(frame(spark, x, "query_id"), c, 3, "l2"))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
 def test_planner_falls_back_to_exact(spark):
     rng = np.random.default_rng(7)
     x = rng.uniform(-1, 1, (300, 8)).astype(np.float32)
