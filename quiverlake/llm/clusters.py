@@ -31,6 +31,8 @@ TREE_SAMPLE = 4096
 MAX_TREE_BYTES = 64 << 20
 #: Rows compared at once.
 TILE = 4096
+#: Leaves of a node that are compared as wholes.
+PAIRED = 512
 _ROUNDS = 6
 #: Room for float rounding in bounds.
 _EPS = 1e-5
@@ -123,42 +125,80 @@ def relation(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, least
     return some, every
 
 
+def _large(sizes: np.ndarray) -> np.ndarray:
+    """Which leaves are compared as wholes: the PAIRED largest of three or more rows."""
+    out = sizes >= 3
+    if out.sum() > PAIRED:
+        out &= sizes > np.partition(sizes, -PAIRED)[-PAIRED]
+    return out
+
+
 def _edges(xa: np.ndarray, la: np.ndarray, ca: list, xb: np.ndarray, lb: np.ndarray, cb: list, least: float, same: bool) -> list[tuple[int, int, bool]]:
-    """(leaf of a, leaf of b, all near) for pairs of leaves of which some rows are near. Leaves of
-    fewer than three rows are compared row by row against everything; larger ones by relation."""
+    """(leaf of a, leaf of b, all near) for pairs of leaves of which some rows are near. Large
+    leaves are compared with each other by relation; the rows of all others with everything, in
+    blocks."""
     na, nb = np.bincount(la, minlength=len(ca)), np.bincount(lb, minlength=len(cb))
     order_a, order_b = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
     end_a, end_b = np.cumsum(na), np.cumsum(nb)
-    big_a, big_b = np.flatnonzero(na >= 3), np.flatnonzero(nb >= 3)
-    rows_a = {i: xa[order_a[end_a[i] - na[i] : end_a[i]]] for i in big_a}
-    rows_b = rows_a if same else {j: xb[order_b[end_b[j] - nb[j] : end_b[j]]] for j in big_b}
+    big_a, big_b = _large(na), _large(nb)
+    rows_a = {i: xa[order_a[end_a[i] - na[i] : end_a[i]]] for i in np.flatnonzero(big_a)}
+    rows_b = rows_a if same else {j: xb[order_b[end_b[j] - nb[j] : end_b[j]]] for j in np.flatnonzero(big_b)}
     out: list[tuple[int, int, bool]] = []
-    for i in big_a:
-        for j in big_b:
+    for i in rows_a:
+        for j in rows_b:
             if not same or i < j:
                 some, every = relation(rows_a[i], rows_b[j], ca[i], cb[j], least)
                 if some:
                     out.append((int(i), int(j), every))
 
-    def loose(x, leaf, sizes, other, other_leaf, other_sizes, swap: bool) -> None:
-        few = np.flatnonzero(sizes[leaf] < 3)
+    def loose(x, leaf, small, other, other_leaf, keep) -> dict[tuple[int, int], int]:
+        """Near pairs of rows, counted by pair of leaves, of the rows in small leaves."""
+        few = np.flatnonzero(small[leaf])
+        n = int(other_leaf.max()) + 1 if len(other_leaf) else 1
         near: dict[tuple[int, int], int] = {}
         for s in range(0, len(few), TILE):
             some = few[s : s + TILE]
             for t in range(0, len(other), TILE):
                 p, q = np.nonzero(x[some] @ other[t : t + TILE].T >= least)
-                for i, j in zip(leaf[some[p]], other_leaf[t + q]):
-                    if not same or i != j:
-                        near[int(i), int(j)] = near.get((int(i), int(j)), 0) + 1
-        for (i, j), n in near.items():
-            if other_sizes[j] >= 3 or not swap:  # pairs of small leaves come from one side only
-                if not same or other_sizes[j] >= 3 or i < j:
-                    out.append((j, i, n == sizes[i] * other_sizes[j]) if swap else (i, j, n == sizes[i] * other_sizes[j]))
-
-    loose(xa, la, na, xb, lb, nb, False)
-    if not same:
-        loose(xb, lb, nb, xa, la, na, True)
-    return out
+                keys, counts = np.unique(leaf[some[p]] * n + other_leaf[t + q], return_counts=True)
+                i, j = keys // n, keys % n
+                for at in np.flatnonzero(keep(i, j)):
+                    k = int(i[at]), int(j[at])
+                    near[k] = near.get(k, 0) + int(counts[at])
+        return near
+
+    if same:
+        found = loose(xa, la, ~big_a, xb, lb, lambda i, j: (i != j) & (big_a[j] | (i < j)))
+    else:
+        found = loose(xa, la, ~big_a, xb, lb, lambda i, j: np.ones(len(i), bool))
+        found |= {(i, j): n for (j, i), n in loose(xb, lb, ~big_b, xa, la, lambda j, i: big_a[i]).items()}
+    out += [(i, j, n == na[i] * nb[j]) for (i, j), n in found.items()]
+    return _compact(out, same)
+
+
+def _compact(edges: list[tuple[int, int, bool]], same: bool) -> list[tuple[int, int, bool]]:
+    """The edges, but of a component that can't become a cluster (some of its rows are near and
+    some are not) only enough to keep it together."""
+    name = lambda i, j: ((0, i), (0 if same else 1, j))
+    up: dict = {}
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    broken = set()
+    kept = []
+    for i, j, every in edges:
+        a, b = map(top, name(i, j))
+        if a != b:
+            up[a] = b
+            kept.append((i, j, every))
+        if not every:
+            broken.add(name(i, j)[0])
+    bad = {top(v) for v in broken}
+    return [e for e in edges if top(name(e[0], e[1])[0]) not in bad] + [(i, j, False) for i, j, _ in kept if top(name(i, j)[0]) in bad]
 
 
 def clusters_of(leaves: np.ndarray, sizes: np.ndarray, edges: list[tuple[int, int, bool]]) -> dict[int, int]:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiverlake.llm.vectors import matrices, matrix, unit, usable_rows, latest
+from quiverlake.llm.vectors import latest, matrices, matrix, unit, usable_rows
+from quiverlake.operators.sampling import hashed_sample
 
 #: Rows of the sample from which each dim's rotations are learned.
 SAMPLE_ROWS = 8192
@@ -108,12 +109,10 @@ def residual_codes(x: np.ndarray, seed: int = 7) -> np.ndarray:
 
 def learn_rotations(rows: DataFrame, margin: float, turns: int = 20, sample_rows: int = SAMPLE_ROWS) -> dict[int, Rotation]:
     """A rotation for each dim, from its sample_rows usable rows with the smallest hashes."""
-    h = F.xxhash64("tenant_id", "id", "vec")
     picked: dict[int, Rotation] = {}
-    dims = sorted(r[0] for r in rows.select("dim").distinct().collect())
-    for dim in dims:
-        sample = rows.where(F.col("dim") == dim).select("vec", h.alias("q_h")).orderBy("q_h").limit(sample_rows).select("vec").toArrow()
-        picked[dim] = learn_rotation(unit(matrix(sample.column(0), dim)), margin, turns)
+    for dim, n in sorted(tuple(r) for r in rows.groupBy("dim").count().collect()):
+        own = hashed_sample(rows.where(F.col("dim") == dim).select("tenant_id", "id", "vec"), sample_rows, n).select("vec").toArrow()
+        picked[dim] = learn_rotation(unit(matrix(own.column(0), dim)), margin, turns)
     return picked
 
 

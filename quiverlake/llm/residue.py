@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiverlake.operators.sampling import hashed_sample
+
 #: Documents that training takes at most, and the longest of them in characters.
 MAX_TRAIN_DOCS = 20_000
 MAX_TRAIN_CHARS = 20_000
@@ -268,8 +270,8 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Fit both regressions on a bounded sample: the max_docs documents of at most MAX_TRAIN_CHARS
     characters with the smallest hashes. Hosts (source) whose hash falls below HELD_OUT percent
     only validate."""
-    own = docs.where(F.length(F.trim("text")).between(1, MAX_TRAIN_CHARS)).select("text", F.coalesce(F.col("source"), F.lit("")).alias("source"), F.xxhash64("text", "doc_id").alias("q_h"))
-    sample = own.orderBy("q_h").limit(max_docs).collect()
+    own = docs.where(F.length(F.trim("text")).between(1, MAX_TRAIN_CHARS)).select("text", F.coalesce(F.col("source"), F.lit("")).alias("source"), "doc_id")
+    sample = hashed_sample(own, max_docs).collect()
     holes, says, yh, ys, out = [], [], [], [], []
     seeds = _seed_units()
     for text, source in [(s, None) for s in seeds] + [(r[0], r[1]) for r in sample]:

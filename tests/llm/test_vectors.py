@@ -150,6 +150,29 @@ def test_clusters_equal_brute_force(spark, node_rows):
     assert all(1 <= len(r["typical_ids"]) <= 3 for r in told)
 
 
+@pytest.mark.parametrize("paired", [2, 512])
+def test_clusters_of_loose_data(spark, monkeypatch, paired):
+    """Many leaves, some groups among rows without any."""
+    monkeypatch.setattr(clusters, "PAIRED", paired)
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(300, 6)), np.eye(6)[rng.integers(3, size=20)] * 1.0]).astype(np.float32)
+    y = np.vstack([np.eye(64)[k] + 0.03 * rng.normal(size=(n, 64)) for k, n in enumerate((3, 2, 1, 4, 5, 3, 8))]).astype(np.float32)
+    least = 0.45
+    for z in (x, y):
+        u = unit(z).astype(np.float32)
+        leaf, centres = clusters.bisect(u, float(np.sqrt((1 + least) / 2)) + 1e-5)
+        assert all((u[leaf == k] @ c >= np.sqrt((1 + least) / 2)).all() for k, c in enumerate(centres))
+        sizes = np.bincount(leaf)
+        edges = clusters._edges(u, leaf, centres, u, leaf, centres, least, True)
+        big = np.flatnonzero(sizes >= 3)
+        found = clusters.clusters_of(big, sizes[big], [(i, j, e, sizes[i], sizes[j]) for i, j, e in edges])
+        got = {}
+        for row, k in enumerate(leaf):
+            if int(k) in found:
+                got.setdefault(found[int(k)], []).append(row)
+        assert {(min(m), r) for m in got.values() for r in m} == cluster_truth(z, list(range(len(z))), 0.55)
+
+
 def test_clusters_of_odd_rows(spark):
     t = tenants(spark, ("a", 2), (None, 2))
     assert rows(clusters.mutual_clusters(spark.createDataFrame(ODD, VEC), t)) == [] == rows(clusters.mutual_clusters(spark.createDataFrame([], VEC), t))
