@@ -24,6 +24,8 @@ from quiverlake.session import shuffle_partitions
 
 #: Largest number of output columns; the key list is sent to all executors.
 MAX_KEYS = 4096
+#: Rows for which the shuffle gets one more partition.
+ROWS_PER_PARTITION = 2_000_000
 #: Column with the keys whose current value can't be read as its kind.
 BAD = "unreadable_keys"
 
@@ -155,6 +157,8 @@ def attributes_to_wide(rows: DataFrame, keys: Iterable[tuple[str, str]], partiti
         F.col("attr_value").alias("q_value"),
     )
     cells = own.join(F.broadcast(slots), "q_key").select("tenant_id", "id", "q_slot", "q_seq", "q_value")
+    if partitions is None:  # registers in a partition follow the rows; a count reads no columns
+        partitions = max(shuffle_partitions(spark), rows.count() // ROWS_PER_PARTITION)
     create, add, merge = _registers(n)
     readers = [(k, KINDS[kind][1]) for k, kind in keys]
 
@@ -173,7 +177,7 @@ def attributes_to_wide(rows: DataFrame, keys: Iterable[tuple[str, str]], partiti
 
     wide = (
         cells.rdd.map(lambda r: ((r[0], r[1]), (r[2], r[3], r[4])))
-        .combineByKey(create, add, merge, partitions or shuffle_partitions(spark), _place)
+        .combineByKey(create, add, merge, max(1, partitions), _place)
         .mapPartitions(encode)
     )
     return spark.createDataFrame(wide, schema, verifySchema=False)
