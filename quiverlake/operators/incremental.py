@@ -78,7 +78,8 @@ def due_records(log: DataFrame, runs: DataFrame, ledger: DataFrame | None = None
         .where(F.col("seq") > F.coalesce("reread_from", zero))
         .select(*LOG, "seq", F.coalesce("done_seq", zero).alias("done_seq"))
     )
-    new = reread.join(ledger.select(*LOG, "seq"), [*LOG, "seq"], "left_anti")
+    # The ledger grows with the logs and its size isn't known beforehand, so it is never broadcast.
+    new = reread.join(ledger.select(*LOG, "seq").hint("merge"), [*LOG, "seq"], "left_anti")
     # Each record marks itself present and its successor as possibly missing, so that one
     # grouping by (log, seq) removes repeats and finds the ends of all contiguous stretches.
     marks = new.select(*LOG, "done_seq", F.explode(F.array(F.struct("seq", F.lit(True).alias("here")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("here")))).alias("m"))
