@@ -52,7 +52,7 @@ def _replayed(spark: SparkSession, d: str, query: str, payload: list[str]) -> Ch
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _replayed(spark, d, "p3_found", []).state().select("tenant_id", "id", "vec_seq", "meta_seq")
+    return _replayed(spark, d, "p3_found", PAYLOAD).state([]).select("tenant_id", "id", "vec_seq", "meta_seq")
 
 
 def p3_state(spark: SparkSession, d: str) -> DataFrame:
