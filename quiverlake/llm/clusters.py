@@ -1,12 +1,13 @@
 """Clusters of mutually similar vectors by bisecting k-means (problem 4).
 
 Each node that is not compact is split in two, the node of largest dispersion first, until every
-leaf lies within half the limit angle around its centre; the members of such a leaf are near each
-other by the triangle inequality. Tenants with more than NODE_ROWS vectors are first split by a
-tree that is bisected on a bounded sample; its nodes then go to one task each. An exact check
-follows: leaves that are near each other are joined, and a joined group is a cluster if all of
-its members are near each other and none is near anything outside. Bounds on cosines decide most
-pairs of leaves; the others are compared in blocks, and no pair of vectors leaves a task.
+leaf is compact: all of its members are near one of them, so that a leaf is always part of one group
+of connected vectors. Tenants with more than NODE_ROWS vectors are first split by a tree that is
+bisected on a bounded sample; its nodes then go to one task each. An exact check follows: leaves
+that are near each other are joined, and a joined group is a cluster if all of its members are near
+each other and none is near anything outside. For this, leaves are compared in blocks sorted by how
+far they lean towards each other; bounds on cosines decide most blocks, and no pair of vectors
+leaves a task.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ TREE_SAMPLE = 4096
 MAX_TREE_BYTES = 64 << 20
 #: Rows compared at once.
 TILE = 4096
+#: Rows of a block whose bounds are taken together.
+BLOCK = 1024
 #: Leaves of a node that are compared as wholes.
-PAIRED = 512
+PAIRED = 128
 _ROUNDS = 6
 #: Room for float rounding in bounds.
 _EPS = 1e-5
@@ -63,9 +66,10 @@ def _centre(x: np.ndarray) -> np.ndarray:
     return (c / n).astype(np.float32) if n > 1e-9 else x[0]
 
 
-def bisect(x: np.ndarray, least_cos: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Leaf number of each unit vector, and the leaves' centres; every member of a leaf has at
-    least least_cos to its centre. Nodes are split in the order of their dispersion."""
+def bisect(x: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Leaf number of each unit vector, and the leaves' centres. All members of a leaf have a cosine
+    of at least ``least`` to the member nearest its centre. Nodes are split in the order of their
+    dispersion."""
     leaf = np.zeros(len(x), np.int64)
     centres: list[np.ndarray] = []
     heap: list[tuple[float, int, np.ndarray]] = [(0.0, 0, np.arange(len(x)))]
@@ -74,23 +78,15 @@ def bisect(x: np.ndarray, least_cos: float) -> tuple[np.ndarray, list[np.ndarray
         _, _, rows = heapq.heappop(heap)
         own = x[rows]
         c = _centre(own)
-        near = own @ c
-        if near.min() >= least_cos or len(rows) == 1:
+        out = own @ own[(own @ c).argmax()] < least
+        out[(own @ c).argmax()] = False
+        if not out.any():
             leaf[rows] = len(centres)
             centres.append(c)
             continue
-        out = near < least_cos
-        if out.sum() < 0.02 * len(rows):
-            # A compact core with some strays: they are the second half.
-            core = _centre(own[~out])
-            side = own @ core < least_cos
-            if side.all() or not side.any():
-                side = _halves(own)
-        else:
-            side = _halves(own)
-        if side.all() or not side.any():  # equal rows beyond float rounding
-            side = np.zeros(len(rows), bool)
-            side[0] = True
+        side = out if out.sum() < 0.02 * len(rows) else _halves(own)  # a compact core sheds its strays
+        if side.all() or not side.any():
+            side = out
         for part in (rows[~side], rows[side]):
             made += 1
             spread = len(part) - float(np.linalg.norm(x[part].sum(0, dtype=np.float64)))
@@ -98,30 +94,41 @@ def bisect(x: np.ndarray, least_cos: float) -> tuple[np.ndarray, list[np.ndarray
     return leaf, centres
 
 
+def _blocks(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest and largest coordinates and largest remainder of each block of rows."""
+    at = np.arange(0, len(p), BLOCK)
+    return np.minimum.reduceat(p, at), np.maximum.reduceat(p, at), np.maximum.reduceat(q, at)
+
+
 def relation(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, least: float) -> tuple[bool, bool]:
     """(any, all): whether some, and whether all, rows of a and b have a cosine of at least
-    ``least``. The plane of both centres bounds all cosines; only if the bounds don't decide, the
-    rows are compared, in blocks."""
+    ``least``.
+
+    In the plane of both centres the rows' coordinates are known, and their remainders multiply to
+    no more than the product of their lengths. Sorted by their leaning to each other's centre,
+    blocks of rows have narrow bounds; only blocks that these don't decide are multiplied.
+    """
     g = float(ca @ cb)
     w = cb - g * ca
     n = float(np.linalg.norm(w))
-    base = np.stack([ca, w / n]) if n > 1e-6 else ca[None]
+    base = np.stack([ca, w / n]) if n > 1e-4 else ca[None]
     pa_, pb = a @ base.T, b @ base.T
-    rest = np.sqrt(max(0.0, float(1 - (pa_ * pa_).sum(1).min()))) * np.sqrt(max(0.0, float(1 - (pb * pb).sum(1).min())))
-    corners = np.stack([pa_.min(0), pa_.max(0)])[:, None, :] * np.stack([pb.min(0), pb.max(0)])[None, :, :]
-    most, fewest = corners.max((0, 1)).sum() + rest, corners.min((0, 1)).sum() - rest
-    if most < least - _EPS:
-        return False, False
-    if fewest >= least + _EPS:
-        return True, True
-    some, every = False, True
-    for i in range(0, len(a), TILE):
-        for j in range(0, len(b), TILE):
-            near = a[i : i + TILE] @ b[j : j + TILE].T >= least
-            some = some or bool(near.any())
-            every = every and bool(near.all())
-            if some and not every:
-                return True, False
+    # Towards the other centre first; with one centre, the rows farthest from it first.
+    oa, ob = (np.argsort(-pa_[:, 1]), np.argsort(-pb[:, 0])) if len(base) == 2 else (np.argsort(pa_[:, 0]), np.argsort(pb[:, 0]))
+    a, b, pa_, pb = a[oa], b[ob], pa_[oa], pb[ob]
+    rest_a, rest_b = (np.sqrt(np.maximum(0, 1 - (p * p).sum(1))) for p in (pa_, pb))
+    (la, ha, ra), (lb, hb, rb) = _blocks(pa_, rest_a), _blocks(pb, rest_b)
+    corners = np.stack([u[:, None] * v[None] for u in (la, ha) for v in (lb, hb)])
+    rest = ra[:, None] * rb[None]
+    most, fewest = corners.max(0).sum(2) + rest, corners.min(0).sum(2) - rest
+    none, full = most < least - _EPS, fewest >= least + _EPS
+    some, every = bool(full.any()), not none.any()
+    for i, j in zip(*np.nonzero(~none & ~full)):
+        if some and not every:
+            break
+        near = a[i * BLOCK : (i + 1) * BLOCK] @ b[j * BLOCK : (j + 1) * BLOCK].T >= least
+        some = some or bool(near.any())
+        every = every and bool(near.all())
     return some, every
 
 
@@ -173,6 +180,12 @@ def _edges(xa: np.ndarray, la: np.ndarray, ca: list, xb: np.ndarray, lb: np.ndar
         found = loose(xa, la, ~big_a, xb, lb, lambda i, j: np.ones(len(i), bool))
         found |= {(i, j): n for (j, i), n in loose(xb, lb, ~big_b, xa, la, lambda j, i: big_a[i]).items()}
     out += [(i, j, n == na[i] * nb[j]) for (i, j), n in found.items()]
+    if same:  # leaves whose own rows are not all near
+        half = np.sqrt((1 + least) / 2) + _EPS
+        for i in np.flatnonzero(na >= 3):
+            own = xa[order_a[end_a[i] - na[i] : end_a[i]]]
+            if (own @ ca[i]).min() < half and not relation(own, own, ca[i], ca[i], least)[1]:
+                out.append((int(i), int(i), False))
     return _compact(out, same)
 
 
@@ -198,12 +211,13 @@ def _compact(edges: list[tuple[int, int, bool]], same: bool) -> list[tuple[int,
         if not every:
             broken.add(name(i, j)[0])
     bad = {top(v) for v in broken}
-    return [e for e in edges if top(name(e[0], e[1])[0]) not in bad] + [(i, j, False) for i, j, _ in kept if top(name(i, j)[0]) in bad]
+    return [e for e in edges if top(name(e[0], e[1])[0]) not in bad or same and e[0] == e[1]] + [(i, j, False) for i, j, _ in kept if top(name(i, j)[0]) in bad]
 
 
 def clusters_of(leaves: np.ndarray, sizes: np.ndarray, edges: list[tuple[int, int, bool]]) -> dict[int, int]:
     """Leaf to cluster number. leaves and sizes: the leaves of three or more rows, which may have
-    no edge; edges: (leaf, leaf, all near, size, size). A component of leaves is a cluster if all
+    no edge; edges: (leaf, leaf, all near, size, size), of a leaf with itself if its own rows are not
+    all near. A component of leaves is a cluster if all
     pairs of its leaves are joined by edges whose rows are all near, and it has three rows."""
     up = {int(i): int(i) for i in leaves}
     size = {int(i): int(n) for i, n in zip(leaves, sizes)}
@@ -215,6 +229,7 @@ def clusters_of(leaves: np.ndarray, sizes: np.ndarray, edges: list[tuple[int, in
         return i
 
     full: dict[int, int] = {}
+    broken: set[int] = set()
     for i, j, _, ni, nj in edges:
         up.setdefault(i, i)
         up.setdefault(j, j)
@@ -225,10 +240,12 @@ def clusters_of(leaves: np.ndarray, sizes: np.ndarray, edges: list[tuple[int, in
     for i, _, every, _, _ in edges:
         if every:
             full[top(i)] = full.get(top(i), 0) + 1
+        else:
+            broken.add(top(i))
     members: dict[int, list[int]] = {}
     for i in up:
         members.setdefault(top(i), []).append(i)
-    return {i: c for c, m in members.items() for i in m if full.get(c, 0) == len(m) * (len(m) - 1) // 2 and sum(size[k] for k in m) >= 3}
+    return {i: c for c, m in members.items() for i in m if c not in broken and full.get(c, 0) == len(m) * (len(m) - 1) // 2 and sum(size[k] for k in m) >= 3}
 
 
 def _trees(rows: DataFrame, node_rows: int) -> dict[str, list[tuple[int, int, np.ndarray, np.ndarray]]]:
@@ -315,16 +332,12 @@ def mutual_clusters(vectors: DataFrame, tenants: DataFrame, limit: float = LIMIT
     rows. Needs limit <= 1.
     """
     least = 1.0 - limit
-    half = float(np.sqrt((1 + least) / 2))  # cosine of half the limit angle
     rows = _with_nodes(written(current_vectors(vectors, tenants), "clusters-vectors"), node_rows)
 
-    def own(x: np.ndarray):
-        return bisect(x, half + _EPS)
-
     def node_step(key: tuple, t: pa.Table) -> pa.Table:
         tenant, node = key[0].as_py(), key[1].as_py()
         x = unit(matrix(t.column("vec"), t.column("dim")[0].as_py()))
-        leaf, centres = own(x)
+        leaf, centres = bisect(x, least)
         sizes = np.bincount(leaf, minlength=len(centres))
         at = np.einsum("ij,ij->i", x, np.array(centres)[leaf])
         big = np.flatnonzero(sizes >= 3)
