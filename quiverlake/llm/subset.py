@@ -87,11 +87,20 @@ class FeatureTree:
             left = np.flatnonzero(~fits)
         self.n, self.ls, self.ss = np.concatenate([self.n, n[left]]), np.concatenate([self.ls, ls[left]]), np.concatenate([self.ss, ss[left]])
         while len(self.n) > self.most:
+            self._rise()
             self._condense()
-            if len(self.n) > self.most:
-                self.radius2 *= RISE
         self._group()
 
+    def _rise(self) -> None:
+        """A threshold at which a quarter of the nearest pairs of features fit, or as many as there are
+        too many; at most eight times the one before."""
+        c, e = self.ls / self.n[:, None], len(self.n)
+        sq = np.einsum("ij,ij->i", c, c)
+        d2 = sq[:, None] + sq[None] - 2 * c @ c.T
+        np.fill_diagonal(d2, np.inf)
+        pairs = min(8 * self.radius2, np.quantile(d2.min(1) / 4, min(0.25, (e - self.most) / e)))
+        self.radius2 = max(self.radius2 * RISE, float(pairs))
+
     def _condense(self) -> None:
         """Join features greedily, heaviest first, where the joint radius allows it."""
         c = self.ls / self.n[:, None]

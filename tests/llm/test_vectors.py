@@ -202,7 +202,7 @@ def test_varied_subset(spark):
     assert 20 <= len(mine) <= 24 and len({r["id"] for r in mine}) == len(mine)
     assert sum(r["group_size"] for r in mine) == 4201
     assert sum(r["id"] >= 1200 for r in mine) <= 12  # five in seven of all rows, far less of the subset
-    u, picked = unit(x), unit(x[[r["id"] for r in mine if r["id"] < 1200]])
+    u, picked = unit(x), unit(np.vstack([x, big])[[r["id"] for r in mine]])
     assert (u @ picked.T).max(1).min() > 0.8  # every group is covered
     assert [r["id"] for r in got.collect() if r["tenant_id"] == "b"] == [1]
     assert rows(subset.varied_subset(spark.createDataFrame([], VEC), t)) == []
