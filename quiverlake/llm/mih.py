@@ -1,6 +1,6 @@
-"""Most similar vectors by multi-index hashing (problem 2).
+"""Most similar vectors (problem 2): k nearest by multi-index hashing, close pairs exactly.
 
-Vectors become binary codes by rotations learned from a bounded sample (principal axes, then
+For k nearest, vectors become binary codes by rotations learned from a bounded sample (principal axes, then
 rotations fitted so that signs lose little). A code is cut into substrings of 16 bits. If two codes
 differ in at most R bits, some substring differs in at most R // substrings bits, so looking up
 every substring value that near finds every code within R. Found codes are compared by bit count,
@@ -9,7 +9,8 @@ and those within the radius by their floats.
 Tenants with more than BLOCK_ROWS vectors are split into blocks by the signs of their first
 principal coordinates. A vector near a split plane also goes to the block on the plane's lower
 side; as coordinates differ by no more than the distance of the vectors, two vectors within the
-given distance always meet in one block.
+given distance always meet in one block. Within a block close pairs come from matrix products of
+its leaves; leaves whose bounds show that they hold no close pair are left out, so none is lost.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ BLOCK_ROWS = 32768
 #: Bits by which a tenant is split at most.
 MAX_SPLIT = 24
 SUBSTRING = 16
-#: Bits of a code, a multiple of 64: for k nearest, and for close pairs.
+#: Bits of a code, a multiple of 64.
 BITS = 192
-PAIR_BITS = 384
+#: Rows of a leaf, the unit in which a block is compared for close pairs, and columns of one product.
+LEAF_ROWS = 512
+PRODUCT_COLUMNS = 8192
 #: Candidate pairs expanded at once.
 CHUNK = 1 << 21
 #: Largest radius in which a query's substrings are looked up.
@@ -89,24 +92,6 @@ def learn_rotation(x: np.ndarray, margin: float, turns: int = 20, seed: int = 7)
     return Rotation(mean.astype(np.float32), axes[:, :splits], cuts, np.hstack(planes)[:, :BITS].astype(np.float32))
 
 
-def residual_codes(x: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Codes of unit vectors x by rotations learned from x itself, for finding close pairs.
-
-    Principal axes with far more variance than the median axis tell groups of vectors apart, not
-    members of one group; they are left out, so that two vectors of one group differ in about half
-    of the bits unless they are close.
-    """
-    n, d = x.shape
-    mean = x.mean(0)
-    var, axes = np.linalg.eigh(np.cov((x - mean).T.astype(np.float64)).reshape(d, d) if n > 1 else np.eye(d))
-    kept = axes[:, var <= 1.5 * np.median(var)]
-    k = kept.shape[1]
-    rng = np.random.default_rng(seed)
-    turns = [np.linalg.qr(rng.standard_normal((k, k)))[0] for _ in range(-(-PAIR_BITS // k))]
-    planes = (kept @ np.hstack(turns)[:, :PAIR_BITS]).astype(np.float32)
-    return np.packbits((x - mean) @ planes > 0, axis=1, bitorder="little").view(np.uint64)
-
-
 def learn_rotations(rows: DataFrame, margin: float, turns: int = 20, sample_rows: int = SAMPLE_ROWS) -> dict[int, Rotation]:
     """A rotation for each dim, from its sample_rows usable rows with the smallest hashes."""
     picked: dict[int, Rotation] = {}
@@ -184,7 +169,59 @@ def cosine_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(1.0 - np.einsum("ij,ij->i", a, b), 12)
 
 
-def nearest_within(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, limit: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of x in leaves of at most LEAF_ROWS: halved along their widest direction, about."""
+    done, open_ = [], [np.arange(len(x))]
+    while open_:
+        at = open_.pop()
+        if len(at) <= LEAF_ROWS:
+            done.append(at)
+            continue
+        y = x[at] - x[at].mean(0)
+        v = y[np.einsum("ij,ij->i", y, y).argmax()]
+        for _ in range(4):
+            v = v / max(float(np.linalg.norm(v)), 1e-30)
+            v = (y @ v) @ y
+        order = np.argsort(y @ v, kind="stable")
+        open_ += [at[order[len(at) // 2 :]], at[order[: len(at) // 2]]]
+    return done
+
+
+def close_pairs(x: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b), in chunks, among which is every pair of float32 unit rows x that are each
+    other's or one the other's nearest, at cosine distance up to limit; pairs come once.
+
+    Products in float32 are off by the error bound of a sum of dim terms at most; what lies within
+    it of a row's nearest so far is a candidate.
+    """
+    if len(x) < 2:
+        return
+    slack = 2.0 * (x.shape[1] + 8) * 2.0**-24
+    leaves = _leaves(x)
+    x = x[order := np.concatenate(leaves)]
+    ends = np.cumsum([len(k) for k in leaves])
+    starts = ends - [len(k) for k in leaves]
+    centres = np.array([x[s:e].mean(0, dtype=np.float64) for s, e in zip(starts, ends)])
+    radii = np.array([np.sqrt(((x[s:e] - c) ** 2).sum(1).max()) for s, e, c in zip(starts, ends, centres)])
+    reach = np.sqrt(2 * (limit + slack)) + 1e-4
+    nearest = np.full(len(x), np.float32(limit + slack), np.float32)  # distance up to which a row takes candidates
+    for i, (s, e) in enumerate(zip(starts, ends)):
+        apart = np.sqrt(((centres[i:] - centres[i]) ** 2).sum(1)) - radii[i:] - radii[i]
+        cols = np.concatenate([np.arange(starts[j], ends[j]) for j in i + np.flatnonzero(apart <= reach)])
+        for at in range(0, len(cols), PRODUCT_COLUMNS):
+            own = cols[at : at + PRODUCT_COLUMNS]
+            d = 1 - x[s:e] @ x[own].T
+            a, b = np.nonzero(d <= np.float32(limit + slack))
+            keep = own[b] > s + a
+            a, b, d = s + a[keep], own[b[keep]], d[a[keep], b[keep]]
+            np.minimum.at(nearest, a, d + np.float32(slack))
+            np.minimum.at(nearest, b, d + np.float32(slack))
+            keep = (d <= nearest[a]) | (d <= nearest[b])
+            if keep.any():
+                yield order[a[keep]], order[b[keep]]
+
+
+def nearest_within(x: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the id of its nearest other row (-1 without one) at cosine distance up to
     limit, and that distance. Ties go to the smallest id.
 
@@ -209,14 +246,13 @@ def nearest_within(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, limit: flo
     hid = ids[heads]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for pair in CodeIndex(codes[heads]).pairs(most):
+    for pair in close_pairs(unit(x[heads]), limit):
         found.append(pair)
         size += len(pair[0])
         if size > CHUNK:
             _settle(found, wide, hid, heads, limit, best, who)
             size = 0
     _settle(found, wide, hid, heads, limit, best, who)
-    _settle(found, wide, hid, heads, limit, best, who)
     return who, best
 
 
@@ -335,17 +371,16 @@ def _blocked(rows: DataFrame, rotations: dict[int, Rotation], margin: float, blo
 _PAIR = "tenant_id string, id bigint, near_id bigint, distance double"
 
 
-def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, most: int = 112, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(tenant_id, id, near_id, distance): of each current vector its nearest other one of the
     tenant, if it is at cosine distance up to limit; ties go to the smallest id.
 
-    Codes at most ``most`` of 384 bits apart of which some substring differs in one bit at most are
-    compared by their floats; all codes less than 48 bits apart are among them. Null ids and unusable vectors (see usable_rows) have no part. Repeated rows count
+    Exact (see close_pairs). Null ids and unusable vectors (see usable_rows) have no part. Repeated rows count
     once. Empty tables give no rows.
     """
     margin = float(np.sqrt(2 * limit)) * 1.0001
     rows = usable_rows(vectors, tenants)
-    rotations = learn_rotations(rows, margin, turns=0)  # only to split tenants; each block learns its own codes
+    rotations = learn_rotations(rows, margin, turns=0)  # only to split tenants
     if not rotations:
         return rows.sparkSession.createDataFrame([], _PAIR)
     # Blocks come before the choice of the latest row, so that rows meet Python once.
@@ -355,7 +390,7 @@ def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, most
         dim = t.column("dim")[0].as_py()
         x = matrix(t.column("vec"), dim)
         ids = t.column("id").to_numpy()
-        who, best = nearest_within(x, ids, residual_codes(unit(x)), limit, most)
+        who, best = nearest_within(x, ids, limit)
         hit = np.flatnonzero(np.isfinite(best))
         return pa.table({"tenant_id": t.column("tenant_id").take(pa.array(hit)), "id": ids[hit], "near_id": who[hit], "distance": best[hit]})
 

@@ -75,6 +75,23 @@ def test_mutual_pairs_equal_brute_force(spark, block_rows):
     assert got == sorted(want, key=repr) and len(want) > 50
 
 
+@pytest.mark.parametrize("n, dim, decay, apart", [(25, 64, 0.0, 0.1), (61, 64, 0.0, 0.1), (2500, 64, 1.5, 0.1), (2500, 64, 3.0, 0.05), (1200, 8, 0.0, 0.1)])
+def test_pairs_of_few_rows_and_low_rank(n, dim, decay, apart):
+    rng = np.random.default_rng(n)
+    x = unit(rng.normal(size=(n, dim)) * np.arange(1, dim + 1) ** -decay)
+    near = unit(rng.normal(size=(n // 5, dim)) * np.arange(1, dim + 1) ** -decay)
+    x = np.vstack([x, unit(x[: n // 5] + apart * near)]).astype(np.float32)
+    ids = rng.permutation(10 * len(x))[: len(x)]
+    who, best = mih.nearest_within(x, ids, 0.01)
+    u = unit(x)
+    d = np.round(1 - u @ u.T, 12)
+    np.fill_diagonal(d, 9)
+    some = d.min(1) <= 0.01
+    assert (np.isfinite(best) == some).all() and some.sum() >= 2 * (n // 5) * 0.9
+    assert np.abs(best[some] - d.min(1)[some]).max() < 1e-11
+    assert (d[np.flatnonzero(some), [{int(k): i for i, k in enumerate(ids)}[int(w)] for w in who[some]]] <= d.min(1)[some] + 1e-11).all()
+
+
 def test_pairs_of_copies_and_odd_rows(spark):
     data = [("a", i, [1.0, 2.0, 3.0]) for i in (5, 3, 9, 1)] + [("a", 20, [2.0, 4.0, 6.0]), ("b", 1, [1.0, 2.0, 3.0])]
     t = tenants(spark, ("a", 3), ("b", 3))
