@@ -2,10 +2,13 @@
 
 Each task summarises its rows of a tenant in cluster features (count, linear sum, square sum),
 which are additive; a feature takes a row if its radius stays within a threshold, and the
-threshold rises when there are too many features. The summaries of all tasks are merged in two
+threshold rises when there are too many features; joining leaves half as many as there may be at
+least, so that tight groups keep several. The summaries of all tasks are merged in two
 levels, first by salt and then by tenant, into at most MAX_ENTRIES features, so that a tenant
 with most of the rows is no burden. Ward linkage joins the features until the wanted number of
 groups is left, and the record nearest each group's centre is taken, whatever the group's size.
+Where groups are left without a record, or a tenant's features are fewer than the groups wanted,
+the records farthest from those taken fill up (each task, salt and tenant again).
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ BRANCHES = 16
 SALTS = 32
 #: Bytes of group centres sent to the executors at once; more are taken in several passes.
 MAX_CENTRE_BYTES = 32 << 20
+#: Records of a tenant from which a task picks far ones at once.
+FAR_ROWS = 4096
 
 
 class FeatureTree:
@@ -45,6 +50,7 @@ class FeatureTree:
 
     def __init__(self, dim: int, most: int = MAX_ENTRIES, radius2: float = FIRST_RADIUS2):
         self.most, self.radius2 = most, radius2
+        self.least = most // 2  # joining leaves so many, whatever the threshold
         self.n = np.zeros(0)
         self.ls = np.zeros((0, dim))
         self.ss = np.zeros(0)
@@ -102,26 +108,28 @@ class FeatureTree:
         self.radius2 = max(self.radius2 * RISE, float(pairs))
 
     def _condense(self) -> None:
-        """Join features greedily, heaviest first, where the joint radius allows it."""
-        c = self.ls / self.n[:, None]
-        free = np.ones(len(self.n), bool)
-        kept_n, kept_ls, kept_ss = [], [], []
-        for i in np.argsort(-self.n, kind="stable"):
-            if not free[i]:
-                continue
-            free[i] = False
-            m, s, q = self.n[i], self.ls[i].copy(), self.ss[i]
-            rest = np.flatnonzero(free)
-            d = np.einsum("ij,ij->i", c[rest] - c[i], c[rest] - c[i])
-            for j in rest[np.argsort(d, kind="stable")][: int((d <= 4 * self.radius2).sum())]:
-                m2, s2, q2 = m + self.n[j], s + self.ls[j], q + self.ss[j]
-                if q2 / m2 - s2 @ s2 / (m2 * m2) <= self.radius2:
-                    m, s, q = m2, s2, q2
-                    free[j] = False
-            kept_n.append(m)
-            kept_ls.append(s)
-            kept_ss.append(q)
-        self.n, self.ls, self.ss = np.array(kept_n), np.array(kept_ls), np.array(kept_ss)
+        """Join mutual nearest features by Ward's cost, cheapest first, where the joint radius allows
+        it, until none is left or ``least`` features are."""
+        while (room := len(self.n) - self.least) > 0:
+            n, e = self.n, len(self.n)
+            c = self.ls / n[:, None]
+            sq = np.einsum("ij,ij->i", c, c)
+            m = n[:, None] + n[None]
+            cost = n[:, None] * n[None] / m * np.maximum(0, sq[:, None] + sq[None] - 2 * c @ c.T)
+            # Of a joint feature, count times squared radius is that of both parts and the cost.
+            own = np.maximum(0, self.ss - n * sq)
+            cost[(own[:, None] + own[None] + cost) > self.radius2 * m] = np.inf
+            np.fill_diagonal(cost, np.inf)
+            near = cost.argmin(1)
+            i = np.flatnonzero((near[near] == np.arange(e)) & (near > np.arange(e)) & np.isfinite(cost[np.arange(e), near]))
+            if not len(i):
+                return
+            i = i[np.argsort(cost[i, near[i]], kind="stable")][:room]
+            j = near[i]
+            for x in (self.n, self.ls, self.ss):
+                x[i] += x[j]
+            left = np.setdiff1d(np.arange(e), j)
+            self.n, self.ls, self.ss = self.n[left], self.ls[left], self.ss[left]
 
 
 def ward(n: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
@@ -231,8 +239,9 @@ def _centres(features: DataFrame, k: int) -> DataFrame:
 _BEST = "tenant_id string, group_no int, id bigint, distance double, n bigint"
 
 
-def _nearest_records(rows: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
-    """For each batch, tenant and group: the nearest record of the group and the group's size."""
+def _nearest_records(rows: DataFrame, centres: dict[str, tuple[np.ndarray, dict[int, int]]]) -> DataFrame:
+    """For each batch, tenant and group: the nearest record of the group and the group's size. With
+    a tenant's centres come the places of the records that are centres themselves."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)  # within MAX_CENTRE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +254,14 @@ def _nearest_records(rows: DataFrame, centres: dict[str, np.ndarray]) -> DataFra
                 p = _points(x, [meta[i] for i in at])
                 for t in sorted(set(tenant[at]) & set(shared.value)):
                     own = np.flatnonzero(tenant[at] == t)
-                    c = shared.value[t]
+                    c, fixed = shared.value[t]
                     d2 = np.maximum(0, (p[own] ** 2).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * p[own] @ c.T)
                     group = d2.argmin(1)
-                    d, i = np.round(np.sqrt(d2[np.arange(len(own)), group]), 9), ids[at[own]]
+                    i = ids[at[own]]
+                    for row in np.flatnonzero(np.isin(i, list(fixed))) if fixed else ():
+                        group[row] = fixed[int(i[row])]
+                        d2[row, group[row]] = 0
+                    d = np.round(np.sqrt(d2[np.arange(len(own)), group]), 9)
                     for k in np.lexsort((i, d, group))[np.flatnonzero(np.diff(np.sort(group), prepend=-1))]:
                         out.append((t, int(group[k]) + 1, int(i[k]), float(d[k]), int((group == group[k]).sum())))
             cols = list(zip(*out)) if out else [[]] * 5
@@ -258,25 +271,113 @@ def _nearest_records(rows: DataFrame, centres: dict[str, np.ndarray]) -> DataFra
     return rows.select("tenant_id", "id", "dim", "vec", "metadata").mapInArrow(run, _BEST)
 
 
+def _assigned(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """(tenant_id, group_no, id, group_size, distance): of each group the record nearest its centre.
+    centres: tenant_id, group_no, centre, id (of the record that is the centre, or null)."""
+    total = centres.agg(F.sum(F.size("centre").cast("bigint") * 4)).first()[0] or 0
+    passes = max(1, -(-total // MAX_CENTRE_BYTES))
+    best = None
+    for k in range(passes):
+        mine = F.pmod(F.xxhash64("tenant_id"), F.lit(passes)) == k
+        held: dict[str, list] = {}
+        for r in centres.where(mine).orderBy("tenant_id", "group_no").select("tenant_id", "centre", "id").toLocalIterator():
+            held.setdefault(r[0], []).append((r[1], r[2]))
+        of = {t: (np.array([x for x, _ in c], np.float64), {i: g for g, (_, i) in enumerate(c) if i is not None}) for t, c in held.items()}
+        part = _nearest_records(rows.where(mine), of)
+        best = part if best is None else best.unionByName(part)
+    return best.groupBy("tenant_id", "group_no").agg(F.min(F.struct("distance", "id")).alias("m"), F.sum("n").alias("group_size")).select("tenant_id", "group_no", F.col("m.id").alias("id"), "group_size", F.col("m.distance").alias("distance"))
+
+
+def farthest(p: np.ndarray, ids: np.ndarray, taken: np.ndarray, k: int) -> np.ndarray:
+    """Rows of up to k points, each the farthest from the taken rows and those before; ties go to
+    the smallest id. Copies of points that are taken are left out."""
+    order = np.argsort(ids, kind="stable")
+    least = np.full(len(p), np.inf)
+    for i in taken:
+        least = np.minimum(least, ((p - p[i]) ** 2).sum(1))
+    out: list[int] = []
+    while len(out) < k and len(p):
+        i = int(order[least[order].argmax()])
+        if least[i] <= 0:
+            break
+        out.append(i)
+        least = np.minimum(least, ((p - p[i]) ** 2).sum(1))
+    return np.array(out, np.int64)
+
+
+_FAR = "tenant_id string, salt int, group_no int, id bigint, p array<double>"
+
+
+def _filled(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(tenant_id, group_no, centre, id): of each tenant of rows to which records can be added,
+    those found and those that fill up to k. found: tenant_id, group_no, id."""
+
+    def thinned(held: list[tuple]) -> list[tuple]:
+        """Of (group_no, id, point): those taken, and k far ones."""
+        p, taken = np.array([h[2] for h in held]), np.array([h[0] is not None for h in held])
+        far = farthest(p, np.array([h[1] for h in held]), np.flatnonzero(taken), k)
+        return [held[i] for i in [*np.flatnonzero(taken), *far]]
+
+    def table(tenant: str, salt: int, held: list[tuple]) -> pa.Table:
+        n = len(held)
+        return pa.table({"tenant_id": pa.array([tenant] * n, pa.string()), "salt": pa.array([salt] * n, pa.int32()), "group_no": pa.array([h[0] for h in held], pa.int32()), "id": pa.array([h[1] for h in held], pa.int64()), "p": pa.array([h[2] for h in held], pa.list_(pa.float64()))})
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        salt = TaskContext.get().partitionId() % SALTS
+        for b in batches:
+            tenant, ids, group, meta = (b.column(c).to_pylist() for c in ("tenant_id", "id", "group_no", "metadata"))
+            for _, at, x in matrices(b):
+                p = _points(x, [meta[i] for i in at])
+                for row, i in enumerate(at):
+                    own = held.setdefault(tenant[i], [])
+                    own.append((group[i], ids[i], p[row]))
+                    if len(own) >= FAR_ROWS:
+                        held[tenant[i]] = thinned(own)
+            if len(held) > 512:
+                for t, own in held.items():
+                    yield from table(t, salt, thinned(own)).to_batches()
+                held.clear()
+        for t, own in held.items():
+            yield from table(t, salt, thinned(own)).to_batches()
+
+    def rows_of(t: pa.Table) -> list[tuple]:
+        return list(zip(t.column("group_no").to_pylist(), t.column("id").to_pylist(), [np.array(p) for p in t.column("p").to_pylist()]))
+
+    def merge_salt(key: tuple, t: pa.Table) -> pa.Table:
+        return table(key[0].as_py(), key[1].as_py(), thinned(rows_of(t)))
+
+    def fill(key: tuple, t: pa.Table) -> pa.Table:
+        held = thinned(rows_of(t))
+        taken = sorted((h for h in held if h[0] is not None), key=lambda h: h[0])
+        whole = (taken + [h for h in held if h[0] is None])[:k]
+        whole = whole if len(whole) > len(taken) else []
+        n = len(whole)
+        return pa.table({"tenant_id": pa.array([key[0].as_py()] * n, pa.string()), "group_no": pa.array(range(1, n + 1), pa.int32()), "centre": pa.array([h[2] for h in whole], pa.list_(pa.float64())).cast(pa.list_(pa.float32())), "id": pa.array([h[1] for h in whole], pa.int64())})
+
+    given = rows.select("tenant_id", "id", "dim", "vec", "metadata").join(found.select("tenant_id", "id", "group_no"), ["tenant_id", "id"], "left")
+    once = given.mapInArrow(pick, _FAR)
+    return once.groupBy("tenant_id", "salt").applyInArrow(merge_salt, _FAR).groupBy("tenant_id").applyInArrow(fill, "tenant_id string, group_no int, centre array<float>, id bigint")
+
+
 def varied_subset(vectors: DataFrame, tenants: DataFrame, per_tenant: int = 32) -> DataFrame:
     """(tenant_id, group_no, id, group_size, distance): for each tenant per_tenant records that
     cover the variety of its current vectors and their metadata, one for each group.
 
-    A group whose records all lie nearer to other groups' centres gives no record. A tenant with
-    fewer distinct records gives fewer. Null and empty metadata count as a point of its own, null
+    A tenant with fewer distinct records (by direction and metadata) gives fewer, all others give
+    per_tenant. Where groups without records were filled up, each record is its group's centre, and
+    the others of the tenant count to the nearest. Null and empty metadata count as a point of its own, null
     values as the text None. Unusable vectors and null ids have no part, repeated rows count once,
     ties go to the smallest id, empty tables give no rows.
     """
     rows = written(current_vectors(vectors, tenants, "metadata"), "subset-vectors")
     centres = written(_centres(_summaries(rows), per_tenant), "subset-centres")
-    total = centres.agg(F.sum(F.size("centre").cast("bigint") * 4)).first()[0] or 0
-    passes = max(1, -(-total // MAX_CENTRE_BYTES))
-    best = None
-    for k in range(passes):
-        mine = F.pmod(F.xxhash64("tenant_id"), F.lit(passes)) == k
-        held: dict[str, list] = {}
-        for r in centres.where(mine).orderBy("tenant_id", "group_no").toLocalIterator():
-            held.setdefault(r[0], []).append(r[2])
-        part = _nearest_records(rows.where(mine), {t: np.array(c, np.float64) for t, c in held.items()})
-        best = part if best is None else best.unionByName(part)
-    return best.groupBy("tenant_id", "group_no").agg(F.min(F.struct("distance", "id")).alias("m"), F.sum("n").alias("group_size")).select("tenant_id", "group_no", F.col("m.id").alias("id"), "group_size", F.col("m.distance").alias("distance"))
+    found = written(_assigned(rows, centres.withColumn("id", F.lit(None).cast("bigint"))), "subset-found")
+    short = found.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("q_found"), F.sum("group_size").alias("q_rows"))
+    short = short.where((F.col("q_found") < per_tenant) & (F.col("q_rows") > F.col("q_found"))).select("tenant_id")
+    if short.isEmpty():
+        return found
+    filled = written(_filled(rows.join(short, "tenant_id", "left_semi"), found, per_tenant), "subset-filled")
+    named = filled.select("tenant_id").distinct()
+    again = _assigned(rows.join(named, "tenant_id", "left_semi"), filled)
+    return found.join(named, "tenant_id", "left_anti").unionByName(again)

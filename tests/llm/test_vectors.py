@@ -227,6 +227,21 @@ def test_varied_subset(spark):
     assert odd == [("a", 1), ("a", 2), ("default", 7)]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_varied_subset_is_of_the_given_size(spark, parts):
+    rng = np.random.default_rng(9)
+    tight = unit(rng.normal(size=(5, 32)))[rng.integers(5, size=6000)] + 0.3 / np.sqrt(32) * rng.normal(size=(6000, 32))
+    close = np.repeat(np.array([1.0, 0]) + 0.01 * np.array([[0.0, i] for i in range(40)]), 12, axis=0)
+    few = np.repeat(np.eye(32)[:20], 30, axis=0)
+    data = [(t, i, v) for t, x in (("tight", tight), ("close", close), ("few", few)) for i, v in enumerate(x)]
+    df = vectors(spark, data).withColumn("metadata", F.create_map(F.lit("topic"), F.lit("one")))
+    got = subset.varied_subset(df.repartition(parts), tenants(spark, ("tight", 32), ("close", 2), ("few", 32))).collect()
+    for t, x, want in (("tight", tight, 32), ("close", close, 32), ("few", few, 20)):
+        mine = [r for r in got if r["tenant_id"] == t]
+        assert len(mine) == want == len(np.unique(x[[r["id"] for r in mine]], axis=0)) and len({r["group_no"] for r in mine}) == want
+        assert sum(r["group_size"] for r in mine) == len(x)
+
+
 def test_ward_cuts_at_k():
     c = np.array([[0, 0], [0, 1], [10, 0], [10, 1], [50, 0.0]])
     assert sorted(np.bincount(subset.ward(np.ones(5), c, 3)).tolist()) == [1, 2, 2] and len(set(subset.ward(np.ones(5), c, 5))) == 5
