@@ -26,6 +26,7 @@ from quiverlake.streaming.oplog_stream import follow, read_log_stream
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
 SUBSPACES, CENTROIDS, LISTS, PROBES = 8, 16, 16, 4
+TRAINED_SUBSPACES, TRAINED_LISTS, TRAINED_PROBES = 64, 64, 48
 SHARDS = 4
 EDGE_NUMBERS = ["1", " 1 ", "1d", "1f", "1e400", "nan", "inf", "-Infinity", "1_000", "+.5", "5.", "1e3", "30\n", "", "abc", "-2.5E-1"]
 NODES = ["node-a", "node-b", "node-c", "node-d"]
@@ -344,6 +345,8 @@ def q_drop_tenant(spark: SparkSession, d: str) -> DataFrame:
 
 # --- product quantisation and inverted lists -----------------------------------------------------
 
+# With a fixed book and fixed lists (the first rows), which SQL can follow: these check encoding, tables and ranking
+# against SQL and find few of the true neighbours. The searches to use are those with trained ones, q_..._trained.
 
 def _book(spark: SparkSession, d: str) -> quantize.Codebook:
     return quantize.codebook_of(_vecs(spark, d).where(F.col("id") < CENTROIDS), SUBSPACES)
@@ -441,6 +444,51 @@ def q_ivf_rerank(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(quantize.code_search_reranked(_queries(spark, d), quantize.ivf_index(v, book, lists), v, book, K, 100, lists, PROBES), "score")
 
 
+def _trained_book(spark: SparkSession, d: str) -> quantize.Codebook:
+    v = _vecs(spark, d).select("id", "vec")
+    return quantize.train_codebook(v, TRAINED_SUBSPACES, max(1, min(quantize.MAX_CENTROIDS, v.count())))
+
+
+def _trained_lists(spark: SparkSession, d: str) -> np.ndarray:
+    v = _vecs(spark, d).select("id", "vec")
+    return quantize.train_lists(v, max(1, min(TRAINED_LISTS, v.count())))
+
+
+@query()
+def q_pq_search_trained(spark: SparkSession, d: str) -> DataFrame:
+    book = _trained_book(spark, d)
+    return _rounded(quantize.code_search(_queries(spark, d), quantize.encode(_vecs(spark, d), book), book, K), "score")
+
+
+@query()
+def q_pq_rerank_trained(spark: SparkSession, d: str) -> DataFrame:
+    book, v = _trained_book(spark, d), _vecs(spark, d)
+    return _rounded(quantize.code_search_reranked(_queries(spark, d), quantize.encode(v, book), v, book, K, 100), "score")
+
+
+@query()
+def q_ivf_search_trained(spark: SparkSession, d: str) -> DataFrame:
+    book, lists = _trained_book(spark, d), _trained_lists(spark, d)
+    return _rounded(quantize.code_search(_queries(spark, d), quantize.ivf_index(_vecs(spark, d), book, lists), book, K, lists, TRAINED_PROBES), "score")
+
+
+@query()
+def q_ivf_rerank_trained(spark: SparkSession, d: str) -> DataFrame:
+    book, lists, v = _trained_book(spark, d), _trained_lists(spark, d), _vecs(spark, d)
+    return _rounded(quantize.code_search_reranked(_queries(spark, d), quantize.ivf_index(v, book, lists), v, book, K, 100, lists, TRAINED_PROBES), "score")
+
+
+@query()
+def q_recall_trained(spark: SparkSession, d: str) -> DataFrame:
+    """Mean recall at K of each trained search."""
+    truth = search.knn_join(_queries(spark, d), _vecs(spark, d), K, "l2")
+    out = None
+    for f in (q_pq_search_trained, q_pq_rerank_trained, q_ivf_search_trained, q_ivf_rerank_trained):
+        part = metrics.recall(f(spark, d), truth).agg(F.avg("recall").alias("recall")).select(F.lit(f.__name__).alias("search"), "recall")
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out, "recall")
+
+
 @query(
     f"""WITH {_VECS}, {_LIST}, own AS (SELECT id, list_id FROM ld WHERE r = 1), x AS (SELECT list_id, unnest(range(64))::INT AS place, unnest(vec) AS x FROM own JOIN vecs USING (id))
  SELECT list_id::BIGINT AS centroid, count(*) AS n, place, round(avg(x), 6) AS x FROM x GROUP BY ALL"""

@@ -31,3 +31,8 @@ def test_queries_equal_their_sql(spark, name):
     assert order == sorted(theirs.columns)
     pick = [theirs.columns.index(o) for o in order]
     assert sorted(map(repr, (tuple(r) for r in mine.select(*order).collect()))) == sorted(repr(tuple(r[i] for i in pick)) for r in theirs.fetchall())
+
+
+def test_trained_searches_have_their_recall(spark):
+    got = {r["search"]: r["recall"] for r in entry.queries()["q_recall_trained"](spark, SMALL.replace("sf0.001", "sf0.1")).collect()}
+    assert set(got) == {"q_pq_search_trained", "q_pq_rerank_trained", "q_ivf_search_trained", "q_ivf_rerank_trained"} and min(got.values()) >= 0.9, got
