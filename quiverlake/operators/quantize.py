@@ -24,6 +24,8 @@ MAX_CENTROIDS = 256
 #: Rows of the sample on which codebooks and lists are trained.
 SAMPLE_ROWS = 20_000
 TRAIN_ROUNDS = 25
+#: Centroids that one step takes at most.
+STEP_CENTROIDS = 65_536
 
 
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -67,9 +69,11 @@ def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
 
     Each row goes to its nearest centroid (ties to the smallest number) and sums are combined before
     the shuffle; an empty cluster keeps its centroid. The centroids are broadcast; a codebook or
-    list table has at most some thousands.
+    list table has at most some thousands. More than STEP_CENTROIDS raise an error.
     """
-    held = sorted((r["centroid"], list(r["v"])) for r in centroids.select("centroid", "v").limit(65_536).collect())
+    held = sorted((r["centroid"], list(r["v"])) for r in centroids.select("centroid", "v").limit(STEP_CENTROIDS + 1).collect())
+    if len(held) > STEP_CENTROIDS:
+        raise ValueError(f"at most {STEP_CENTROIDS} centroids")
     names = [c for c, _ in held]
     shared = points.sparkSession.sparkContext.broadcast(np.array([v for _, v in held], np.float64))
 

@@ -177,3 +177,16 @@ def test_heavy_keys(spark):
     assert [(k, n) for k, n, _ in got] == [("A", 20), ("a", 60), ("default", 18)]
     assert rows(heavy_keys(df.limit(0), tenant_of(), 0.1)) == []
     assert rows(per_key(df, tenant_of(), {"n": F.count("tenant_id")})) == [("A", 20, 20), ("a", 60, 60), ("default", 18, 18), ("z", 2, 2)]
+
+
+def test_kmeans_step_refuses_more_centroids_than_it_takes(spark, monkeypatch):
+    import pytest
+
+    from quiverlake.operators import quantize
+
+    monkeypatch.setattr(quantize, "STEP_CENTROIDS", 2, raising=False)
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "id bigint, vec array<double>")
+    centroids = points.selectExpr("id AS centroid", "vec AS v")
+    assert quantize.kmeans_step(points, centroids.limit(2)).count() == 2
+    with pytest.raises(ValueError):
+        quantize.kmeans_step(points, centroids)
