@@ -1,16 +1,23 @@
-"""Most similar vectors (problem 2): k nearest by multi-index hashing, close pairs exactly.
+"""Most similar vectors (problem 2) by multi-index hashing.
 
-For k nearest, vectors become binary codes by rotations learned from a bounded sample (principal axes, then
-rotations fitted so that signs lose little). A code is cut into substrings of 16 bits. If two codes
-differ in at most R bits, some substring differs in at most R // substrings bits, so looking up
-every substring value that near finds every code within R. Found codes are compared by bit count,
-and those within the radius by their floats.
+Vectors become binary codes by rotations learned from a bounded sample: of their principal
+coordinates, so that each bit carries the same variance, cut at its median. A code is cut into
+substrings of 16 bits, each with an index of its own. If two codes differ in at most R bits, some substring differs in at most
+R // substrings bits, so looking up every substring value that near finds every code within R.
+Found codes are compared by bit count, and those within the radius by their floats.
+
+Close pairs need a radius that no close pair exceeds. Whether the learned rotation keeps it is
+measured in every block on rows moved by the limit; where it doesn't (few rows, narrow or
+low-rank groups), drawn rotations take its place: a drawn plane parts two vectors at angle a with
+probability a / pi whatever the data are, so that 256 bits of pairs at cosine distance 0.01 differ
+in 11.5 bits on average and in more than 31 once in about ten million pairs. Pairs of 32 to
+PAIR_BITS bits are taken too if some substring finds them, as nearly always.
 
 Tenants with more than BLOCK_ROWS vectors are split into blocks by the signs of their first
 principal coordinates. A vector near a split plane also goes to the block on the plane's lower
 side; as coordinates differ by no more than the distance of the vectors, two vectors within the
-given distance always meet in one block. Within a block close pairs come from matrix products of
-its leaves; leaves whose bounds show that they hold no close pair are left out, so none is lost.
+given distance always meet in one block. Queries for the k nearest go to every block that their
+k-th distance so far doesn't rule out.
 """
 
 from __future__ import annotations
@@ -20,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiverlake.llm.vectors import latest, matrices, matrix, unit, usable_rows
+from quiverlake.llm.vectors import current_vectors, latest, matrices, matrix, unit, usable_rows, written
 from quiverlake.operators.sampling import hashed_sample
 
 #: Rows of the sample from which each dim's rotations are learned.
@@ -35,52 +42,100 @@ BLOCK_ROWS = 32768
 MAX_SPLIT = 24
 SUBSTRING = 16
 #: Bits of a code, a multiple of 64.
-BITS = 192
-#: Rows of a leaf, the unit in which a block is compared for close pairs, and columns of one product.
+BITS = 256
+#: Code distance up to which substrings that differ in one bit find every pair.
+PAIR_RADIUS = 2 * (BITS // SUBSTRING) - 1
+#: Code distance up to which pairs are compared by their floats.
+PAIR_BITS = 40
+#: Rows of a block on which the learned rotation is tried.
+TRIED_ROWS = 256
+#: A block whose lookups would give more than this share of its pairs is compared by products.
+DENSE_SHARE = 0.5
+#: Rows of a leaf, the unit in which a block is compared by products, and columns of one product.
 LEAF_ROWS = 512
 PRODUCT_COLUMNS = 8192
 #: Candidate pairs expanded at once.
 CHUNK = 1 << 21
-#: Largest radius in which a query's substrings are looked up.
-PROBE_RADIUS = 2
-#: Codes reranked by their floats for each neighbour wanted, at least.
-RERANK = 250
+#: Largest number of bits by which a looked-up substring may differ from a query's.
+PROBE_RADIUS = 3
+#: Codes reranked by their floats for each neighbour wanted.
+RERANK = 60
 
 
 @dataclass
 class Rotation:
-    """Codes of one dim: signs of (x - mean) @ planes; the first axes also split blocks."""
+    """Codes of one dim: signs of x @ planes - offsets, or of x @ drawn; the axes split blocks."""
 
     mean: np.ndarray
     axes: np.ndarray  # dim x splits, orthonormal, largest variance first
     cuts: np.ndarray  # of the axes' coordinates
-    planes: np.ndarray  # dim x bits
+    planes: np.ndarray  # dim x bits, learned
+    offsets: np.ndarray  # of the planes
+    drawn: np.ndarray  # dim x bits, from random rotations
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
+    def codes(self, x: np.ndarray, learned: bool = True) -> np.ndarray:
         """Codes of unit vectors as rows of 64-bit words."""
-        bits = (x - self.mean) @ self.planes > 0
+        bits = x @ self.planes > self.offsets if learned else x @ self.drawn > 0
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
     def coordinates(self, x: np.ndarray, n: int) -> np.ndarray:
         return (x - self.mean) @ self.axes[:, :n] - self.cuts[:n]
 
-
-def learn_rotation(x: np.ndarray, margin: float, turns: int = 20, seed: int = 7) -> Rotation:
-    """Rotations for unit vectors x: principal axes, then iterative quantisation of a random
-    start, ``turns`` times; as many rotations as fill BITS."""
+    def keeps(self, x: np.ndarray, limit: float, seed: int = 3) -> bool:
+        """Whether the learned codes of rows at cosine distance limit stay well within PAIR_BITS and
+        have a substring by which they are found: tried on up to TRIED_ROWS rows of x moved in random directions and towards other rows."""
+        rng = np.random.default_rng(seed)
+        own = x[rng.permutation(len(x))[:TRIED_ROWS]].astype(np.float64)
+        code = self.codes(own.astype(np.float32))
+        for to in (rng.standard_normal(own.shape), own[rng.permutation(len(own))]):
+            side = to - np.einsum("ij,ij->i", to, own)[:, None] * own
+            length = np.sqrt(np.einsum("ij,ij->i", side, side))
+            side = side[length > 1e-6] / length[length > 1e-6, None]
+            moved = (1 - limit) * own[length > 1e-6] + np.sqrt(limit * (2 - limit)) * side
+            apart = self.codes(moved.astype(np.float32)) ^ code[length > 1e-6]
+            bits = np.bitwise_count(apart).sum(1)
+            least = np.bitwise_count(apart.view(np.uint16)).min(1, initial=0)
+            if len(bits) and (least.max() > 1 or bits.mean() + 6 * max(bits.std(), np.sqrt(bits.mean())) > PAIR_BITS):
+                return False
+        return True
+
+
+def _drawn(rng: np.random.Generator, d: int) -> np.ndarray:
+    q, r = np.linalg.qr(rng.standard_normal((d, d)))
+    return q * np.sign(np.diag(r))
+
+
+def _even(covariance: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The rotation r turned, two columns at a time, until all columns carry the same variance."""
+    r = r.copy()
+    c = r.T @ covariance @ r
+    mean = np.trace(c) / len(c)
+    for _ in range(len(c) - 1):
+        v = np.diag(c)
+        i, j = int(v.argmax()), int(v.argmin())
+        if v[i] - v[j] <= 1e-9 * mean:
+            break
+        # The tangent of the angle at which column i has the mean variance.
+        low = v[j] - mean
+        t = (-c[i, j] - np.sqrt(max(0.0, c[i, j] ** 2 - low * (v[i] - mean)))) / low
+        turn = np.array([[1.0, -t], [t, 1.0]]) / np.sqrt(1 + t * t)
+        r[:, [i, j]] = r[:, [i, j]] @ turn
+        c[:, [i, j]] = c[:, [i, j]] @ turn
+        c[[i, j]] = turn.T @ c[[i, j]]
+    return r
+
+
+def learn_rotation(x: np.ndarray, margin: float, seed: int = 7) -> Rotation:
+    """Rotations for unit vectors x, as many as fill BITS, and as many drawn ones."""
     d = x.shape[1]
     mean = x.mean(0)
     _, _, vt = np.linalg.svd(x - mean, full_matrices=len(x) < d)
     axes = vt.T.astype(np.float32)
     y = (x - mean) @ axes
+    spread = np.cov(y.T).reshape(d, d) if len(x) > 1 else np.zeros((d, d))
     rng = np.random.default_rng(seed)
-    planes: list[np.ndarray] = []
-    while sum(p.shape[1] for p in planes) < BITS:
-        r, _ = np.linalg.qr(rng.standard_normal((d, d)))
-        for _ in range(turns):
-            u, _, w = np.linalg.svd(np.where(y @ r > 0, 1.0, -1.0).T @ y)
-            r = (u @ w).T
-        planes.append(axes @ r)
+    drawn = [_drawn(rng, d) for _ in range(-(-BITS // d))]
+    planes = np.hstack([axes @ _even(spread, r) for r in drawn])[:, :BITS].astype(np.float32)
     splits = min(MAX_SPLIT, d)
     cuts = np.zeros(splits, np.float32)
     for k in range(splits):
@@ -89,15 +144,15 @@ def learn_rotation(x: np.ndarray, margin: float, turns: int = 20, seed: int = 7)
         tries = v[int(0.3 * len(v)) : max(int(0.3 * len(v)) + 1, int(0.7 * len(v)))]
         inside = np.searchsorted(v, tries + margin, "right") - np.searchsorted(v, tries, "right")
         cuts[k] = tries[inside.argmin()]
-    return Rotation(mean.astype(np.float32), axes[:, :splits], cuts, np.hstack(planes)[:, :BITS].astype(np.float32))
+    return Rotation(mean.astype(np.float32), axes[:, :splits], cuts, planes, np.median(x @ planes, axis=0).astype(np.float32), np.hstack(drawn)[:, :BITS].astype(np.float32))
 
 
-def learn_rotations(rows: DataFrame, margin: float, turns: int = 20, sample_rows: int = SAMPLE_ROWS) -> dict[int, Rotation]:
+def learn_rotations(rows: DataFrame, margin: float, sample_rows: int = SAMPLE_ROWS) -> dict[int, Rotation]:
     """A rotation for each dim, from its sample_rows usable rows with the smallest hashes."""
     picked: dict[int, Rotation] = {}
     for dim, n in sorted(tuple(r) for r in rows.groupBy("dim").count().collect()):
         own = hashed_sample(rows.where(F.col("dim") == dim).select("tenant_id", "id", "vec"), sample_rows, n).select("vec").toArrow()
-        picked[dim] = learn_rotation(unit(matrix(own.column(0), dim)), margin, turns)
+        picked[dim] = learn_rotation(unit(matrix(own.column(0), dim)), margin)
     return picked
 
 
@@ -113,28 +168,51 @@ class CodeIndex:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.parts = codes.view(np.uint16)
-        self.orders, self.starts = [], []
-        for s in range(self.parts.shape[1]):
-            self.orders.append(np.argsort(self.parts[:, s], kind="stable"))
-            start = np.zeros((1 << SUBSTRING) + 1, np.int64)
-            np.cumsum(np.bincount(self.parts[:, s], minlength=1 << SUBSTRING), out=start[1:])
-            self.starts.append(start)
+        n, m = self.parts.shape
+        self.direct = n >= 4096  # starts by value; fewer codes are found by bisection
+        self.orders = np.argsort(self.parts, axis=0, kind="stable").T.copy()
+        self.keys = np.take_along_axis(self.parts.T, self.orders, axis=1)
+        if self.direct:
+            self.counts = np.stack([np.bincount(self.parts[:, s], minlength=1 << SUBSTRING) for s in range(m)])
+            self.starts = np.zeros((m, (1 << SUBSTRING) + 1), np.int64)
+            np.cumsum(self.counts, axis=1, out=self.starts[:, 1:])
+
+    def _range(self, s: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows with the given values of substring s start and end in its order."""
+        if self.direct:
+            keys = keys.astype(np.int64)
+            return self.starts[s][keys], self.starts[s][keys + 1]
+        return np.searchsorted(self.keys[s], keys, "left"), np.searchsorted(self.keys[s], keys, "right")
+
+    def expected(self) -> float:
+        """Number of pairs that ``pairs`` expands."""
+        if not self.direct:
+            total = 0
+            for s, keys in enumerate(self.keys):
+                for f in np.array([0, *(1 << np.arange(SUBSTRING))], np.uint16):
+                    lo, hi = self._range(s, keys ^ f)
+                    total += int((hi - lo).sum()) - (len(keys) if f == 0 else 0)
+            return total / 2
+        c = self.counts.astype(np.float64)
+        at = np.arange(1 << SUBSTRING)
+        return float((c * (c - 1)).sum() / 2 + sum((c * c[:, at ^ (1 << f)]).sum() for f in range(SUBSTRING)) / 2)
 
     def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows (a, b), in chunks, of pairs with a substring that differs in one bit at most, if
         they are at most ``most`` bits apart. By the pigeonhole principle these are all pairs less
         than 2 * substrings bits apart, and some more; a pair comes once for each such substring."""
-        n = len(self.codes)
-        for s, (order, start) in enumerate(zip(self.orders, self.starts)):
-            keys = self.parts[order, s].astype(np.int64)
-            at = np.arange(n)
-            yield from self._joined(order, at, at + 1, start[keys + 1], most)
-            for f in 1 << np.arange(SUBSTRING):
-                at = np.flatnonzero(keys & f == 0)  # of two neighbours, the one without the bit looks the other up
-                yield from self._joined(order, at, start[keys[at] ^ f], start[(keys[at] ^ f) + 1], most)
-
-    def _joined(self, order: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of the rows at ``at`` with those from lo to hi, all in terms of ``order``."""
+        n, m = self.parts.shape
+        at = np.arange(n)
+        for s in range(m):
+            keys = self.keys[s]
+            yield from self._joined(s, at, at + 1, self._range(s, keys)[1], most)
+            for f in (1 << np.arange(SUBSTRING)).astype(np.uint16):
+                some = np.flatnonzero(keys & f == 0)  # of two neighbours, the one without the bit looks the other up
+                yield from self._joined(s, some, *self._range(s, keys[some] ^ f), most)
+
+    def _joined(self, s: int, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the rows at ``at`` with those from lo to hi, all in terms of substring s's order."""
+        order = self.orders[s]
         some = hi > lo
         at, lo, sizes = at[some], lo[some], (hi - lo)[some]
         ends = np.cumsum(sizes)
@@ -147,20 +225,25 @@ class CodeIndex:
             b = order[np.arange(own.sum()) + np.repeat(lo[i:j] - (ends[i:j] - own - base), own)]
             apart = np.bitwise_count(self.codes[a, 0] ^ self.codes[b, 0])
             for w in range(1, self.codes.shape[1]):
-                apart += np.bitwise_count(self.codes[a, w] ^ self.codes[b, w])
+                near = np.flatnonzero(apart <= most)  # most pairs are told apart by their first words
+                a, b, apart = a[near], b[near], apart[near]
+                apart = apart + np.bitwise_count(self.codes[a, w] ^ self.codes[b, w])
             near = apart <= most
             if near.any():
                 yield a[near], b[near]
             i = j
 
-    def lookup(self, parts: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    def lookup(self, code: np.ndarray, flips: np.ndarray) -> np.ndarray:
         """Rows that agree with a query's substrings up to one of the flips in any place."""
-        seen = np.zeros(len(self.codes), bool)
-        for s, (order, start) in enumerate(zip(self.orders, self.starts)):
-            keys = (parts[s] ^ flips).astype(np.int64)
-            for lo, hi in zip(start[keys], start[keys + 1]):
-                if lo < hi:
-                    seen[order[lo:hi]] = True
+        n, m = self.parts.shape
+        seen = np.zeros(n, bool)
+        for s, part in enumerate(code.view(np.uint16)):
+            lo, hi = self._range(s, part ^ flips)
+            some = hi > lo
+            lo, sizes = lo[some], (hi - lo)[some]
+            if len(lo):
+                ends = np.cumsum(sizes)
+                seen[self.orders[s][np.arange(ends[-1]) + np.repeat(lo - (ends - sizes), sizes)]] = True
         return np.flatnonzero(seen)
 
 
@@ -221,7 +304,19 @@ def close_pairs(x: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.nd
                 yield order[a[keep]], order[b[keep]]
 
 
-def nearest_within(x: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+def coded_pairs(x: np.ndarray, limit: float, rotation: Rotation) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit rows x, in chunks, that their codes put near enough for cosine distance limit.
+
+    Where even the codes would give more than DENSE_SHARE of all pairs (thousands of rows in one
+    narrow cone), products of the rows give them at less cost.
+    """
+    index = CodeIndex(rotation.codes(x, rotation.keeps(x, limit)))
+    if index.expected() > DENSE_SHARE * len(x) ** 2 / 2:
+        return close_pairs(x, limit)
+    return index.pairs(PAIR_BITS)
+
+
+def nearest_within(x: np.ndarray, ids: np.ndarray, limit: float, rotation: Rotation) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the id of its nearest other row (-1 without one) at cosine distance up to
     limit, and that distance. Ties go to the smallest id.
 
@@ -246,7 +341,7 @@ def nearest_within(x: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.nda
     hid = ids[heads]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for pair in close_pairs(unit(x[heads]), limit):
+    for pair in coded_pairs(unit(x[heads]), limit, rotation):
         found.append(pair)
         size += len(pair[0])
         if size > CHUNK:
@@ -280,92 +375,79 @@ def _wide(x: np.ndarray) -> np.ndarray:
 
 
 def nearest_k(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, qx: np.ndarray, qids: np.ndarray, qcodes: np.ndarray, k: int, rerank: int = RERANK) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and distances of its k nearest rows with other ids.
+    """For each query the ids and distances of its k nearest rows with other ids, nearest first.
 
-    The probing radius grows until rerank * k codes are found; the floats then rank all codes
-    within the smallest bit radius that holds so many. Ties go to the smallest id.
+    The rerank * k nearest codes are ranked by their floats. The probing radius grows until so many
+    codes lie within the code distance up to which probing finds all; beyond PROBE_RADIUS the codes
+    (not the vectors) are gone through. Ties go to the smallest id.
     """
     want = min(len(ids), rerank * k)
     wide, qwide = _wide(x), _wide(qx)
     index = CodeIndex(codes)
     flips = [_flips(r) for r in range(PROBE_RADIUS + 1)]
+    m = index.parts.shape[1]
+    first = 0  # queries of one block are alike: one starts at about the radius the one before needed
     out = []
     for query, own, code in zip(qwide, qids, qcodes):
-        rows = np.zeros(0, np.int64)
-        for f in flips if 2 * want < len(ids) else ():
-            rows = index.lookup(code.view(np.uint16), f)
-            if len(rows) >= want:
+        for r in range(first, PROBE_RADIUS + 2):
+            rows = index.lookup(code, flips[r]) if r <= PROBE_RADIUS else np.arange(len(ids))
+            bits = np.bitwise_count(codes[rows] ^ code).sum(1, dtype=np.uint16)
+            if r > PROBE_RADIUS or (bits < m * (r + 1)).sum() >= want:
                 break
-        if len(rows) < want:  # few codes are that near: all of them are compared
-            rows = np.arange(len(ids))
-        bits = np.bitwise_count(codes[rows] ^ code).sum(1, dtype=np.uint16)
-        reach = np.partition(bits, want - 1)[want - 1]
-        out.append(_rank(wide, ids, query, own, rows[bits <= reach], k))
-    return out
-
-
-def _rank(wide: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = rows[ids[rows] != own]
-    d = np.round(1.0 - wide[rows] @ query, 12)
-    order = np.lexsort((ids[rows], d))[:k]
-    return ids[rows[order]], d[order]
-
-
-def _destinations(y: np.ndarray, p: np.ndarray, margin: float) -> list[list[int]]:
-    """Block numbers of each row; the first is its own. y: coordinates, p: split bits of each."""
-    out = []
-    for row, n in zip(y, p):
-        own = 0
-        for b in range(n):
-            own |= int(row[b] > 0) << b
-        blocks = [(own, 0.0)]
-        for b in range(n):
-            if 0 < row[b] <= margin:
-                cost = float(row[b]) ** 2
-                blocks += [(c & ~(1 << b), s + cost) for c, s in blocks if s + cost <= margin**2]
-        out.append([c for c, _ in blocks])
-    return out
-
-
-def _probes(y: np.ndarray, p: np.ndarray, extra: int) -> list[list[int]]:
-    """A row's own block and the ``extra`` others across its nearest planes."""
-    out = []
-    for row, n in zip(y, p):
-        own = sum(int(row[b] > 0) << b for b in range(n))
-        near = np.argsort(np.abs(row[:n]))[:extra]
-        out.append([own, *(own ^ (1 << int(b)) for b in near)])
+        first = max(0, r - (len(rows) > 8 * want))
+        reach = np.partition(bits, want - 1)[want - 1] if want else 0
+        rows = rows[bits <= reach]
+        rows = rows[ids[rows] != own]
+        d = np.round(1.0 - wide[rows] @ query, 12)
+        order = np.lexsort((ids[rows], d))[:k]
+        out.append((ids[rows[order]], d[order]))
     return out
 
 
-def _blocked(rows: DataFrame, rotations: dict[int, Rotation], margin: float, block_rows: int, query_mod: int | None = None, extra: int = 0) -> DataFrame:
-    """Usable rows with ``blocks``. Without query_mod, each row goes to the blocks in which it may
-    meet rows within margin; with it, to its own block, and a query (id divisible by query_mod)
-    also to ``extra`` others, there only as a query."""
-    sizes = rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).select(
-        "tenant_id", F.least(F.lit(MAX_SPLIT), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / block_rows)))).cast("int").alias("splits")
-    )
+def _crossed(y: np.ndarray, p: np.ndarray, budget: np.ndarray, one_way: bool) -> list[list[int]]:
+    """Block numbers of each row: its own first, then those across planes whose squared distances
+    add up to no more than the row's budget. y: coordinates, p: split bits of each row. one_way:
+    only to the lower side of a plane."""
+    row = np.arange(len(y))
+    code = np.zeros(len(y), np.int64)
+    for b in range(y.shape[1]):
+        code |= ((y[:, b] > 0) & (b < p)).astype(np.int64) << b
+    cost = np.zeros(len(y))
+    for b in range(y.shape[1]):
+        step = y[row, b].astype(np.float64) ** 2
+        over = np.flatnonzero((b < p[row]) & (cost + step <= budget[row]) & ((y[row, b] > 0) | (not one_way)))
+        row, code, cost = np.concatenate([row, row[over]]), np.concatenate([code, code[over] ^ (1 << b)]), np.concatenate([cost, (cost + step)[over]])
+    order = np.argsort(row, kind="stable")
+    cuts = np.cumsum(np.bincount(row, minlength=len(y)))[:-1]
+    return [c.tolist() for c in np.split(code[order], cuts)]
+
+
+def _splits(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(tenant_id, splits): bits by which each tenant is split."""
+    bits = F.least(F.lit(MAX_SPLIT), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / block_rows)))).cast("int")
+    return rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).select("tenant_id", bits.alias("splits"))
+
+
+def _blocked(rows: DataFrame, rotations: dict[int, Rotation], budget, one_way: bool) -> DataFrame:
+    """rows, with column splits, with the ``blocks`` that each meets: see _crossed. budget: a
+    squared distance as a column (null: 0)."""
+    given = rows.withColumn("q_budget", F.coalesce(budget, F.lit(0.0)))
     shared = rows.sparkSession.sparkContext.broadcast(rotations)  # a few matrices for each dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             blocks: list = [[0]] * b.num_rows
             splits = b.column("splits").to_numpy(zero_copy_only=False)
+            most = b.column("q_budget").to_numpy(zero_copy_only=False)
             if splits.any():
-                ids = b.column("id").to_numpy(zero_copy_only=False)
                 for dim, at, x in matrices(b):
                     p = np.minimum(splits[at], dim)
                     y = shared.value[dim].coordinates(unit(x), int(p.max()))
-                    if query_mod is None:
-                        own = _destinations(y, p, margin)
-                    else:
-                        own = _probes(y, p, extra)
-                        own = [o if i % query_mod == 0 else o[:1] for o, i in zip(own, ids[at])]
-                    for i, o in zip(at, own):
+                    for i, o in zip(at, _crossed(y, p, most[at], one_way)):
                         blocks[i] = o
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks, pa.list_(pa.int32()))], names=[*b.schema.names, "blocks"])
 
-    given = rows.join(sizes, "tenant_id")
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField("blocks", T.ArrayType(T.IntegerType()))]))
+    return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField("blocks", T.ArrayType(T.IntegerType()))])).drop("q_budget")
 
 
 _PAIR = "tenant_id string, id bigint, near_id bigint, distance double"
@@ -375,22 +457,27 @@ def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, bloc
     """(tenant_id, id, near_id, distance): of each current vector its nearest other one of the
     tenant, if it is at cosine distance up to limit; ties go to the smallest id.
 
-    Exact (see close_pairs). Null ids and unusable vectors (see usable_rows) have no part. Repeated rows count
-    once. Empty tables give no rows.
+    Candidates come from codes (see the module) and are settled by their floats; limit is at most 0.01,
+    for which the codes are made. Null ids and unusable vectors (see usable_rows) have no part.
+    Repeated rows count once. Empty tables give no rows.
     """
+    if not 0 <= limit <= 0.01:
+        raise ValueError("limit must be from 0 to 0.01")
     margin = float(np.sqrt(2 * limit)) * 1.0001
     rows = usable_rows(vectors, tenants)
-    rotations = learn_rotations(rows, margin, turns=0)  # only to split tenants
+    rotations = learn_rotations(rows, margin)
     if not rotations:
         return rows.sparkSession.createDataFrame([], _PAIR)
+    shared = rows.sparkSession.sparkContext.broadcast(rotations)
     # Blocks come before the choice of the latest row, so that rows meet Python once.
-    placed = latest(_blocked(rows, rotations, margin, block_rows)).select("tenant_id", F.explode("blocks").alias("block"), "dim", "id", "vec")
+    placed = _blocked(rows.join(_splits(rows, block_rows), "tenant_id"), rotations, F.lit(margin**2), True)
+    placed = latest(placed).select("tenant_id", F.explode("blocks").alias("block"), "dim", "id", "vec")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         dim = t.column("dim")[0].as_py()
         x = matrix(t.column("vec"), dim)
         ids = t.column("id").to_numpy()
-        who, best = nearest_within(x, ids, limit)
+        who, best = nearest_within(x, ids, limit, shared.value[dim])
         hit = np.flatnonzero(np.isfinite(best))
         return pa.table({"tenant_id": t.column("tenant_id").take(pa.array(hit)), "id": ids[hit], "near_id": who[hit], "distance": best[hit]})
 
@@ -405,34 +492,80 @@ def mutual_pairs(nearest: DataFrame) -> DataFrame:
     return nearest.groupBy("tenant_id", a.alias("id_a"), b.alias("id_b")).agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
-def similar_vectors(vectors: DataFrame, tenants: DataFrame, k: int = 10, query_mod: int = 20, extra_blocks: int = 3, block_rows: int = BLOCK_ROWS, rerank: int = RERANK) -> DataFrame:
+def _looked_up(home: DataFrame, asked: DataFrame, rotations: dict[int, Rotation], k: int, rerank: int) -> DataFrame:
+    """(tenant_id, id, near_id, distance): the k nearest of each query in each block. home: tenant_id,
+    block, dim, id, vec of the rows; asked: the same of the queries."""
+    shared = home.sparkSession.sparkContext.broadcast(rotations)
+
+    def run(key: tuple, h: pa.Table, q: pa.Table) -> pa.Table:
+        if not h.num_rows or not q.num_rows:
+            return pa.table({"tenant_id": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "near_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        dim = h.column("dim")[0].as_py()
+        ids, qids = h.column("id").to_numpy(), q.column("q_id").to_numpy()
+        x, qx = matrix(h.column("vec"), dim), matrix(q.column("q_vec"), dim)
+        r = shared.value[dim]
+        res = nearest_k(x, ids, r.codes(unit(x)), qx, qids, r.codes(unit(qx)), k, rerank)
+        n = [len(w) for w, _ in res]
+        return pa.table({"tenant_id": pa.array([key[0].as_py()] * sum(n), pa.string()), "id": np.repeat(qids, n).astype(np.int64), "near_id": np.concatenate([w for w, _ in res]).astype(np.int64), "distance": np.concatenate([d for _, d in res])})
+
+    # Many small groups: queries are few, so a block's queries are one group whatever the block's size.
+    asked = asked.select(F.col("tenant_id").alias("q_tenant"), F.col("block").alias("q_block"), F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+    return home.groupBy("tenant_id", "block").cogroup(asked.groupBy("q_tenant", "q_block")).applyInArrow(run, _PAIR)
+
+
+def similar_vectors(vectors: DataFrame, tenants: DataFrame, k: int = 10, query_mod: int = 20, block_rows: int = BLOCK_ROWS, rerank: int = RERANK) -> DataFrame:
     """(tenant_id, id, rank, near_id, distance): the k nearest current vectors of the tenant by
     cosine distance for every current vector whose id is divisible by query_mod.
 
-    Approximate: a query is looked up in its own block and extra_blocks others, and its codes are
-    reranked as in nearest_k. Nulls, repeats and empty tables as in near_pairs; a tenant with
-    fewer than k other vectors gives fewer ranks.
+    Approximate: of a block's rows the rerank * k nearest codes are compared by their floats (see
+    nearest_k). A query is looked up in its own block, and then in every other block of the tenant that
+    its k-th distance doesn't rule out, so that splitting loses nothing. Nulls, repeats and empty
+    tables as in near_pairs; a tenant with fewer than k other vectors gives fewer ranks.
     """
-    rows = usable_rows(vectors, tenants)
+    rows = written(current_vectors(vectors, tenants), "similar-vectors")
     rotations = learn_rotations(rows, 0.05)
-    out_type = "tenant_id string, id bigint, near_id bigint, distance double"
     if not rotations:
-        return rows.sparkSession.createDataFrame([], out_type).withColumn("rank", F.lit(1)).select("tenant_id", "id", "rank", "near_id", "distance")
-    shared = rows.sparkSession.sparkContext.broadcast(rotations)
-    placed = latest(_blocked(rows, rotations, 0.0, block_rows, query_mod, extra_blocks)).select("tenant_id", F.posexplode("blocks").alias("q_copy", "block"), "dim", "id", "vec")
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        dim = t.column("dim")[0].as_py()
-        x, ids, copy = matrix(t.column("vec"), dim), t.column("id").to_numpy(), t.column("q_copy").to_numpy()
-        codes = shared.value[dim].codes(unit(x))
-        at_home = np.flatnonzero(copy == 0)
-        queries = np.flatnonzero(ids % query_mod == 0)
-        tenant = t.column("tenant_id")[0].as_py()
-        res = nearest_k(x[at_home], ids[at_home], codes[at_home], x[queries], ids[queries], codes[queries], k, rerank) if len(at_home) and len(queries) else []
-        near = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in res)])
-        q = np.repeat(ids[queries][: len(res)], [len(w) for w, _ in res])
-        return pa.table({"tenant_id": pa.array([tenant] * len(q), pa.string()), "id": q.astype(np.int64), "near_id": near.astype(np.int64), "distance": np.concatenate([np.zeros(0), *(d for _, d in res)])})
-
-    found = placed.groupBy("tenant_id", "block").applyInArrow(run, out_type)
-    best = found.groupBy("tenant_id", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "near_id"))), 1, k).alias("near"))
-    return best.select("tenant_id", "id", F.posexplode("near").alias("q_pos", "e")).select("tenant_id", "id", (F.col("q_pos") + 1).alias("rank"), F.col("e.near_id").alias("near_id"), F.col("e.distance").alias("distance"))
+        return rows.sparkSession.createDataFrame([], _PAIR).withColumn("rank", F.lit(1)).select("tenant_id", "id", "rank", "near_id", "distance")
+    given = rows.join(_splits(rows, block_rows), "tenant_id")
+    home = _blocked(given, rotations, F.lit(0.0), False).select("tenant_id", F.explode("blocks").alias("block"), "dim", "id", "vec")
+    queries = given.where(F.col("id") % query_mod == 0)
+    first = written(_looked_up(home, _blocked(queries, rotations, F.lit(0.0), False).withColumn("block", F.col("blocks")[0]), rotations, k, rerank), "similar-first")
+    # The squared chord of the k-th distance; a block with fewer than k others rules nothing out.
+    kth = first.groupBy("tenant_id", "id").agg(F.when(F.count(F.lit(1)) >= k, 2 * F.max("distance") + 1e-6).otherwise(F.lit(4.0)).alias("q_reach"))
+    wide = queries.where("splits > 0").join(kth, ["tenant_id", "id"], "left")
+    wide = _blocked(wide, rotations, F.coalesce("q_reach", F.lit(4.0)), False)
+    others = wide.select("tenant_id", F.explode(F.slice("blocks", 2, 1 << 30)).alias("block"), "dim", "id", "vec")
+    found = first.unionByName(_looked_up(home, others, rotations, k, rerank))
+    # At most k rows a query and block: the k best are kept by a window, whose limit runs before the shuffle too.
+    w = Window.partitionBy("tenant_id", "id").orderBy("distance", "near_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("tenant_id", "id", "rank", "near_id", "distance")
+
+
+def exact_similar(vectors: DataFrame, tenants: DataFrame, k: int = 10, query_mod: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """similar_vectors by comparing every query with every row of its tenant, block by block; the
+    measure of its recall."""
+    rows = written(current_vectors(vectors, tenants), "exact-vectors")
+    n = rows.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("q_n"))
+    given = rows.join(n, "tenant_id")
+    home = given.select("tenant_id", F.pmod(F.xxhash64("id"), F.col("q_n")).cast("int").alias("block"), "id", "vec")
+    asked = given.where(F.col("id") % query_mod == 0).select(F.col("tenant_id").alias("q_tenant"), F.explode(F.sequence(F.lit(0), F.col("q_n") - 1)).alias("q_block"), F.col("dim").alias("q_dim"), F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+
+    def run(key: tuple, h: pa.Table, q: pa.Table) -> pa.Table:
+        out = []
+        if h.num_rows and q.num_rows:
+            dim = q.column("q_dim")[0].as_py()
+            ids, qids = h.column("id").to_numpy(), q.column("q_id").to_numpy()
+            x, qx = _wide(matrix(h.column("vec"), dim)), _wide(matrix(q.column("q_vec"), dim))
+            for at in range(0, len(qx), 64):
+                d = np.round(1.0 - qx[at : at + 64] @ x.T, 12)
+                d[qids[at : at + 64, None] == ids[None]] = np.inf
+                for i, own in enumerate(d):
+                    near = np.flatnonzero((own <= np.partition(own, min(k, len(own)) - 1)[min(k, len(own)) - 1]) & np.isfinite(own))
+                    near = near[np.lexsort((ids[near], own[near]))[:k]]
+                    out.append((np.full(len(near), qids[at + i]), ids[near], own[near]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"tenant_id": pa.array([key[0].as_py()] * len(cols[0]), pa.string()), "id": cols[0].astype(np.int64), "near_id": cols[1].astype(np.int64), "distance": cols[2]})
+
+    found = home.groupBy("tenant_id", "block").cogroup(asked.groupBy("q_tenant", "q_block")).applyInArrow(run, _PAIR)
+    w = Window.partitionBy("tenant_id", "id").orderBy("distance", "near_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("tenant_id", "id", "rank", "near_id", "distance")

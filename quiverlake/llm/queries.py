@@ -11,6 +11,7 @@ from quiverlake.llm import bpe, clusters, leaks, mih, residue, subset
 from quiverlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+MIN_RECALL = 0.9
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,6 +22,17 @@ def p2_similar(spark: SparkSession, d: str) -> DataFrame:
     return mih.similar_vectors(table(spark, d, "vectors"), table(spark, d, "tenants"))
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """(n_queries, n_true, recall_ok): queries of p2_similar, their true neighbours by brute force, and
+    whether at least MIN_RECALL of these were found."""
+    key = ["tenant_id", "id", "near_id"]
+    true = mih.exact_similar(table(spark, d, "vectors"), table(spark, d, "tenants")).select(*key)
+    found = p2_similar(spark, d).select(*key, F.lit(1).alias("q_hit"))
+    counts = true.join(found, key, "left").groupBy("tenant_id", "id").agg(F.count(F.lit(1)).alias("n"), F.count("q_hit").alias("hits"))
+    hits = F.coalesce(F.sum("hits"), F.lit(0))
+    return counts.agg(F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_true"), (hits >= MIN_RECALL * F.coalesce(F.sum("n"), F.lit(0))).alias("recall_ok"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.mutual_clusters(table(spark, d, "vectors"), table(spark, d, "tenants")).select("tenant_id", "head_id", "id")
 
@@ -69,7 +81,7 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(scores.items()), "measure string, value double")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_similar, p4_found, p4_described, p5_subset, p8_ids, p8_decoded, p9_found, p9_clean, p10_found, p10_validation)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_similar, p2_recall, p4_found, p4_described, p5_subset, p8_ids, p8_decoded, p9_found, p9_clean, p10_found, p10_validation)}
 
 _T = "coalesce(nullif(tenant_id,''),'default')"
 _WORDS = r"regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+')"
@@ -86,6 +98,8 @@ ORACLES: dict[str, str] = {
  near AS (SELECT a.t, a.id, arg_min(b.id, struct_pack(d := round(1 - list_inner_product(a.v, b.v), 12), i := b.id)) AS n, min(1 - list_inner_product(a.v, b.v)) AS d
    FROM u a JOIN u b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2)
  SELECT a.t AS tenant_id, a.id AS id_a, b.id AS id_b FROM near a JOIN near b ON a.t = b.t AND a.n = b.id AND b.n = a.id AND a.id < b.id WHERE a.d <= 0.01""",
+    "p2_recall": f"""WITH {_CURRENT}, n AS (SELECT t, count(*) AS n, count(*) FILTER (id % 20 = 0) AS q FROM cur GROUP BY 1 HAVING count(*) > 1)
+ SELECT coalesce(sum(q), 0)::BIGINT AS n_queries, coalesce(sum(q * least(10, n - 1)), 0)::BIGINT AS n_true, true AS recall_ok FROM n""",
     "p4_found": f"""WITH {_CURRENT},
  u AS (SELECT t, id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM cur),
  near AS (SELECT a.t, a.id, b.id AS o FROM u a JOIN u b ON a.t = b.t AND 1 - list_inner_product(a.v, b.v) <= 0.55),

@@ -82,7 +82,13 @@ def test_pairs_of_few_rows_and_low_rank(n, dim, decay, apart):
     near = unit(rng.normal(size=(n // 5, dim)) * np.arange(1, dim + 1) ** -decay)
     x = np.vstack([x, unit(x[: n // 5] + apart * near)]).astype(np.float32)
     ids = rng.permutation(10 * len(x))[: len(x)]
-    who, best = mih.nearest_within(x, ids, 0.01)
+    other = mih.learn_rotation(unit(rng.normal(size=(2000, dim)) + 3 * np.eye(dim)[0]).astype(np.float32), 0.14)  # of quite another tenant
+    for rotation in (mih.learn_rotation(unit(x).astype(np.float32), 0.14), other):
+        _same_as_brute_force(x, ids, n, rotation)
+
+
+def _same_as_brute_force(x, ids, n, rotation):
+    who, best = mih.nearest_within(x, ids, 0.01, rotation)
     u = unit(x)
     d = np.round(1 - u @ u.T, 12)
     np.fill_diagonal(d, 9)
@@ -92,6 +98,31 @@ def test_pairs_of_few_rows_and_low_rank(n, dim, decay, apart):
     assert (d[np.flatnonzero(some), [{int(k): i for i, k in enumerate(ids)}[int(w)] for w in who[some]]] <= d.min(1)[some] + 1e-11).all()
 
 
+@pytest.mark.parametrize("n, dim, spread", [(2, 8, 0.0), (4, 64, 0.0), (8, 32, 0.0), (16, 64, 0.05), (40, 128, 0.1), (64, 64, 0.3), (6000, 48, 0.02)])
+def test_planted_pairs_of_small_and_narrow_tenants(n, dim, spread):
+    """One close pair, and rows around few centres or in one narrow cone."""
+    rng = np.random.default_rng(n)
+    rotation = mih.learn_rotation(unit(rng.normal(size=(500, dim))).astype(np.float32), 0.14)
+    for _ in range(20 if n < 1000 else 1):
+        x = unit(np.eye(dim)[rng.integers(3, size=n)] + spread * rng.normal(size=(n, dim))) if spread else unit(rng.normal(size=(n, dim)))
+        x[0] = unit(x[1:2] + 0.13 * unit(rng.normal(size=(1, dim))))[0]
+        who, best = mih.nearest_within(x.astype(np.float32), np.arange(n), 0.01, rotation)
+        d = 1 - x @ x.T
+        np.fill_diagonal(d, 9)
+        assert (np.isfinite(best) == (d.min(1) <= 0.01)).all() and np.isfinite(best[1])
+
+
+def test_dense_blocks_are_compared_by_products():
+    rng = np.random.default_rng(3)
+    x = unit(np.eye(16)[0] + 0.003 * rng.normal(size=(5000, 16))).astype(np.float32)
+    rotation = mih.learn_rotation(unit(rng.normal(size=(500, 16))).astype(np.float32), 0.14)
+    assert mih.CodeIndex(rotation.codes(x, False)).expected() > mih.DENSE_SHARE * 5000**2 / 2
+    who, best = mih.nearest_within(x, np.arange(5000), 0.01, rotation)
+    d = 1 - x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(d, 9)
+    assert np.abs(best - d.min(1)).max() < 1e-6
+
+
 def test_pairs_of_copies_and_odd_rows(spark):
     data = [("a", i, [1.0, 2.0, 3.0]) for i in (5, 3, 9, 1)] + [("a", 20, [2.0, 4.0, 6.0]), ("b", 1, [1.0, 2.0, 3.0])]
     t = tenants(spark, ("a", 3), ("b", 3))
