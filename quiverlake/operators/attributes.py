@@ -1,29 +1,36 @@
 """Entity, attribute, value rows into one typed row per entity (problem 1).
 
-``RDD.combineByKey`` holds one register per entity: two slots (order and raw value) for each
-output column. Merging two cells keeps the later one, so the merge is associative and
-commutative and runs before the shuffle as well as after it: whatever number of rows an
-entity or attribute has, one task ships at most one register per entity. The typed encoders
-run once per entity, after the last merge.
+``RDD.combineByKey`` holds one register per entity: the order and raw value of each output slot
+that is filled. Merging two registers keeps the later cell of each slot, so the merge is
+associative and commutative and runs before the shuffle as well as after it: whatever number of
+rows an entity or attribute has, one task ships at most one register per entity. Rows reach the
+RDD in Arrow batches, each already reduced to the registers of its entities, and leave it as Arrow
+batches from the typed encoders, which run once per entity, after the last merge.
 """
 
 from __future__ import annotations
 
 import datetime
 import math
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quiverlake.functions.tenants import tenant_of
 from quiverlake.session import shuffle_partitions
 
-#: Largest number of output columns; the key list is sent to all executors.
+#: Keys sent to the executors at once; more are taken in several passes.
 MAX_KEYS = 4096
+#: Entities encoded at once.
+ENCODED_ROWS = 4096
 #: Rows for which the shuffle gets one more partition.
 ROWS_PER_PARTITION = 2_000_000
 #: Column with the keys whose current value can't be read as its kind.
@@ -85,48 +92,71 @@ def key_list(keys: DataFrame) -> list[tuple[str, str]]:
     """(key, kind) of a key table, sorted by key.
 
     Rows with a null key or an unknown kind name no column; of repeated keys the first kind in
-    alphabetical order counts. More than MAX_KEYS keys are an error.
+    alphabetical order counts. Each key is a column of the result, so they are held on the driver.
     """
-    rows = keys.select("filter_key", "kind").distinct().limit(MAX_KEYS + 1).collect()
-    if len(rows) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} keys")
+    rows = keys.select("filter_key", "kind").distinct().toLocalIterator()
     found: dict[str, str] = {}
     for key, kind in sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] in KINDS):
         found.setdefault(key_name(key), kind)
     return sorted(found.items())
 
 
-def _later(seq, value, seq2, value2) -> bool:
-    """Whether cell 2 is the later one: nulls first, ties by value."""
-    a = (seq is not None, 0 if seq is None else seq)
-    b = (seq2 is not None, 0 if seq2 is None else seq2)
-    return b > a or b == a and (value2 is not None, value2 or "") > (value is not None, value or "")
-
-
-def _registers(n: int):
-    """create, add and merge of an entity's register [set, seq, value, set, seq, value, ...]."""
-
-    def add(reg: list, cell: tuple) -> list:
-        slot, seq, value = cell
-        at = 3 * slot
-        if not reg[at] or _later(reg[at + 1], reg[at + 2], seq, value):
-            reg[at], reg[at + 1], reg[at + 2] = True, seq, value
-        return reg
-
-    def create(cell: tuple) -> list:
-        return add([None] * (3 * n), cell)
-
-    def merge(a: list, b: list) -> list:
-        for at in range(0, 3 * n, 3):
-            if b[at] and (not a[at] or _later(a[at + 1], a[at + 2], b[at + 1], b[at + 2])):
-                a[at : at + 3] = b[at : at + 3]
-        return a
-
-    return create, add, merge
+def _rank(cell: tuple) -> tuple:
+    """Order of cells (seq, value): nulls first, ties by value."""
+    seq, value = cell
+    return seq is not None, seq or 0, value is not None, value or ""
+
+
+def merge_registers(a: dict, b: dict) -> dict:
+    """Register a with the cells of b that are later: {slot: (seq, value)}."""
+    for slot, cell in b.items():
+        have = a.get(slot)
+        if have is None or (have != cell and _rank(cell) > _rank(have)):
+            a[slot] = cell
+    return a
+
+
+def _last_cells(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entity and slot in a batch the row of its latest cell, sorted by entity, and where
+    entities start among these."""
+    tenant = b.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    id_, slot = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+    has = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+    seq = b.column(3).fill_null(0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((seq, has, slot, id_, tenant))
+    same = np.ones(len(order) - 1, bool)
+    for key in (tenant, id_, slot):
+        same &= key[order[1:]] == key[order[:-1]]
+    equal = same & (has[order[1:]] == has[order[:-1]]) & (seq[order[1:]] == seq[order[:-1]])
+    tied = np.flatnonzero(np.concatenate([equal, [False]]) | np.concatenate([[False], equal]))
+    if len(tied):  # cells of the same order: the largest value is the latest
+        values = b.column(4).take(pa.array(order[tied])).to_pylist()
+        rank = {v: i for i, v in enumerate([None, *sorted({v for v in values if v is not None})])}
+        by_value = np.zeros(len(order), np.int64)
+        by_value[order[tied]] = [rank[v] for v in values]
+        order = np.lexsort((by_value, seq, has, slot, id_, tenant))
+    rows = order[np.concatenate([~same, [True]])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (tenant[rows[1:]] != tenant[rows[:-1]]) | (id_[rows[1:]] != id_[rows[:-1]])
+    return rows, np.flatnonzero(new)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The registers of each batch's entities, as one pickled list [((tenant, id), register), ...]."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows, starts = _last_cells(b)
+        tenant, id_ = (b.column(c).take(pa.array(rows[starts])).to_pylist() for c in (0, 1))
+        slot, seq, value = (b.column(c).take(pa.array(rows)).to_pylist() for c in (2, 3, 4))
+        cells = list(zip(seq, value))
+        ends = [*starts[1:].tolist(), len(rows)]
+        out = [((t, i), dict(zip(slot[s:e], cells[s:e]))) for t, i, s, e in zip(tenant, id_, starts.tolist(), ends)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out, 5)], pa.binary())], names=["q_packed"])
 
 
 def _place(key: tuple) -> int:
-    return zlib.crc32(repr(key).encode("utf-8", "surrogatepass"))
+    return zlib.crc32(f"{key[1]}/{key[0]}".encode("utf-8", "surrogatepass"))
 
 
 def attributes_to_wide(rows: DataFrame, keys: Iterable[tuple[str, str]], partitions: int | None = None) -> DataFrame:
@@ -142,45 +172,67 @@ def attributes_to_wide(rows: DataFrame, keys: Iterable[tuple[str, str]], partiti
     change nothing. An empty table gives no rows.
     """
     keys = list(keys)
-    n = len(keys)
     spark = rows.sparkSession
     fields = [T.StructField(k, KINDS[kind][0]) for k, kind in keys]
     schema = T.StructType([T.StructField("tenant_id", T.StringType()), T.StructField("id", T.LongType()), *fields, T.StructField(BAD, T.ArrayType(T.StringType()))])
     if not keys:
         return spark.createDataFrame([], schema)
-    slots = spark.createDataFrame([(k, i) for i, (k, _) in enumerate(keys)], "q_key string, q_slot int")
     own = rows.where(F.col("id").isNotNull() & F.col("attr_key").isNotNull()).select(
         tenant_of().alias("tenant_id"),
         F.col("id").cast("bigint").alias("id"),
         F.translate(F.lower(F.regexp_replace("attr_key", _BLANKS, "")), "-", "_").alias("q_key"),
-        F.col("set_seq").alias("q_seq"),
+        F.col("set_seq").cast("bigint").alias("q_seq"),
         F.col("attr_value").alias("q_value"),
     )
-    cells = own.join(F.broadcast(slots), "q_key").select("tenant_id", "id", "q_slot", "q_seq", "q_value")
+    cells = None
+    for at in range(0, len(keys), MAX_KEYS):
+        slots = spark.createDataFrame([(k, at + i) for i, (k, _) in enumerate(keys[at : at + MAX_KEYS])], "q_key string, q_slot int")
+        part = own.join(F.broadcast(slots), "q_key").select("tenant_id", "id", "q_slot", "q_seq", "q_value")
+        cells = part if cells is None else cells.unionByName(part)
     if partitions is None:  # registers in a partition follow the rows; a count reads no columns
         partitions = max(shuffle_partitions(spark), rows.count() // ROWS_PER_PARTITION)
-    create, add, merge = _registers(n)
     readers = [(k, KINDS[kind][1]) for k, kind in keys]
-
-    def encode(part: Iterator[tuple[tuple, list]]) -> Iterator[tuple]:
-        for (tenant, id_), reg in part:
-            out: list = [tenant, id_]
-            bad = []
-            for i, (key, read) in enumerate(readers):
-                raw = reg[3 * i + 2]
-                value = None if raw is None else read(raw.strip())
-                if raw is not None and value is None:
-                    bad.append(key)
-                out.append(value)
-            out.append(bad)
-            yield tuple(out)
+    arrow = to_arrow_schema(schema)
+
+    def encoded(entities: list[tuple[tuple, dict]]) -> tuple[bytes]:
+        bad: list[list[str]] = [[] for _ in entities]
+        columns = [pa.array([k[0] for k, _ in entities], pa.string()), pa.array([k[1] for k, _ in entities], pa.int64())]
+        for slot, (key, read) in enumerate(readers):
+            out = [None] * len(entities)
+            for row, (_, register) in enumerate(entities):
+                raw = register.get(slot, (None, None))[1]
+                if raw is not None:
+                    out[row] = read(raw.strip())
+                    if out[row] is None:
+                        bad[row].append(key)
+            columns.append(pa.array(out, arrow.field(slot + 2).type))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, arrow) as writer:
+            writer.write_batch(pa.RecordBatch.from_arrays([*columns, pa.array(bad, arrow.field(BAD).type)], schema=arrow))
+        return (sink.getvalue().to_pybytes(),)
+
+    def encode(part: Iterator[tuple[tuple, dict]]) -> Iterator[tuple[bytes]]:
+        held = []
+        for entity in part:
+            held.append(entity)
+            if len(held) == ENCODED_ROWS:
+                yield encoded(held)
+                held = []
+        if held:
+            yield encoded(held)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                yield from pa.ipc.open_stream(data.as_buffer())
 
     wide = (
-        cells.rdd.map(lambda r: ((r[0], r[1]), (r[2], r[3], r[4])))
-        .combineByKey(create, add, merge, max(1, partitions), _place)
+        cells.mapInArrow(_packed, "q_packed binary")
+        .rdd.flatMap(lambda r: pickle.loads(r[0]))
+        .combineByKey(lambda register: register, merge_registers, merge_registers, max(1, partitions), _place)
         .mapPartitions(encode)
     )
-    return spark.createDataFrame(wide, schema, verifySchema=False)
+    return spark.createDataFrame(wide, "q_encoded binary", verifySchema=False).mapInArrow(unpacked, schema)
 
 
 def unreadable_cells(wide: DataFrame) -> DataFrame:

@@ -190,3 +190,20 @@ def test_kmeans_step_refuses_more_centroids_than_it_takes(spark, monkeypatch):
     assert quantize.kmeans_step(points, centroids.limit(2)).count() == 2
     with pytest.raises(ValueError):
         quantize.kmeans_step(points, centroids)
+
+
+def test_registers_merge_in_any_order_and_keys_come_in_passes(spark, monkeypatch):
+    from quiverlake.operators import attributes
+
+    a, b, c = {0: (1, "x"), 2: (None, "q")}, {0: (1, "y"), 1: (4, None)}, {1: (4, "z"), 2: (0, None)}
+    want = {0: (1, "y"), 1: (4, "z"), 2: (0, None)}
+    for order in ((a, b, c), (c, b, a), (b, a, c)):
+        got: dict = {}
+        for r in order:
+            got = attributes.merge_registers(got, r)
+        assert got == want
+    data = [("t", 1, f"k{i % 5}", str(i), i) for i in range(40)] + [("t", 2, "k1", "x", None), ("t", 2, "K1 ", "3", None), ("t", 2, "k1", None, None)]
+    rows_ = spark.createDataFrame(data, "tenant_id string, id bigint, attr_key string, attr_value string, set_seq bigint").repartition(3)
+    monkeypatch.setattr(attributes, "MAX_KEYS", 2)
+    wide = attributes_to_wide(rows_, [(f"k{i}", "int") for i in range(5)])
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in wide.collect()} == {("t", 1): (35, 36, 37, 38, 39, []), ("t", 2): (None, None, None, None, None, ["k1"])}
