@@ -2,10 +2,13 @@
 
 A log-structured merge store. Each append adds one immutable run to a bucketed Parquet table: a
 file per bucket, sorted by (tenant_id, id, seq). Reading merges the sorted files of each bucket in
-one task; no rows move between tasks. Deletes are tombstones; a compaction folds all runs into
-one run of a new version of the table. Runs appear when Spark commits the job that writes them and
-a version counts once its ``_SUCCESS`` file exists, so a failed write leaves nothing behind that a
-reader could see, and a repeated one does no harm.
+one task: the sorter is given k sorted runs, which it finds and merges (and merges again from
+disk where they don't fit), and a window over the merged order takes the last record of each kind.
+No rows move between tasks and nothing is hashed. Deletes are tombstones; a compaction merges all
+runs in the same way into one run of a new version of the table. Runs appear when Spark commits
+the job that writes them and a version counts once its ``_SUCCESS`` file exists, so a failed write
+leaves nothing behind that a reader could see, and a repeated one does no harm. The version
+before the newest stays, so frames read from it live on until the next compaction.
 
 The merge keeps, per id, the latest insert, the latest delete and the latest metadata record.
 Taking the later of two records is associative, commutative and idempotent, so late, repeated
@@ -17,7 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +38,13 @@ _FIELDS = {
     "extra": T.StringType(),
 }
 PAYLOAD = ["vec", "extra"]
+#: Records for which a store gets one more bucket.
+BUCKET_RECORDS = 400_000
+
+
+def buckets_for(records: int, least: int) -> int:
+    """Number of buckets of a store that is to hold so many records."""
+    return max(1, least, -(-records // BUCKET_RECORDS))
 
 
 def changes_of(log: DataFrame, payload: Sequence[str] = PAYLOAD, id_type: str = "bigint") -> DataFrame:
@@ -53,7 +63,7 @@ class ChangeRuns:
     """A store below ``root``, a folder that all executors share.
 
     n_buckets is fixed at creation. Bucket contents grow with the data, so choose it for the
-    expected size (about 128 MB of changes a bucket). payload: the columns kept besides key, seq
+    expected size (see buckets_for). payload: the columns kept besides key, seq
     and op; without any, runs are narrow and the state has only its sequence numbers. A compaction
     follows the append that reaches max_runs. id_type is as in changes_of.
     """
@@ -93,14 +103,14 @@ class ChangeRuns:
         return name
 
     def _write(self, changes: DataFrame, version: int) -> None:
-        changes.select(*self.columns).repartition(self.n_buckets, *KEY).write.insertInto(self._table(version))
+        changes.select(*self.columns).write.insertInto(self._table(version))
 
     def append(self, changes: DataFrame) -> None:
         """Add a run of records as from changes_of."""
         version = self.version()
         if not version:
             delete_path(self.spark, self._path(1))  # what a failed first append may have left
-        self._write(changes, version or 1)
+        self._write(changes.repartition(self.n_buckets, *KEY), version or 1)
         if self.runs() >= self.max_runs:
             self.compact()
 
@@ -120,10 +130,10 @@ class ChangeRuns:
         (null there clears it). An id is stored if its latest insert is later than its latest
         delete. A metadata record of an id that isn't stored does nothing.
         """
-        return fold(self.changes(), self.payload if payload is None else payload)
+        return _live(_merged(self.changes()), self.payload if payload is None else payload)
 
     def compact(self) -> None:
-        """Fold all runs into one run of a new version and delete the version before.
+        """Merge all runs into one run of a new version and delete the version before the old one.
 
         The new run keeps the latest insert, delete and metadata record of every id, tombstones
         included, so that a record delivered late still meets what it has to be compared with.
@@ -131,26 +141,47 @@ class ChangeRuns:
         old = self.version()
         if not old or self.runs() < 2:
             return
-        latest = self.changes().groupBy(*KEY, "op").agg(F.max("seq").alias("seq"), *(F.max_by(F.struct(c), "seq").alias(f"q_{c}") for c in self.payload))
+        order = Window.partitionBy(*KEY).orderBy("seq", "op")
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        last = F.greatest(*(F.when(F.col("op") == op, F.max(F.when(F.col("op") == op, F.col("seq"))).over(whole)) for op in (INSERT, DELETE, META)))
+        repeat = (F.lead("seq").over(order) == F.col("seq")) & (F.lead("op").over(order) == F.col("op"))
+        marked = self.changes().withColumns({"q_last": last, "q_repeat": F.coalesce(repeat, F.lit(False))})
         delete_path(self.spark, self._path(old + 1))
-        self._write(latest.select(*KEY, "seq", "op", *(F.col(f"q_{c}")[c].alias(c) for c in self.payload)), old + 1)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(old)}")
-        delete_path(self.spark, self._path(old))
+        self._write(marked.where((F.col("seq") == F.col("q_last")) & ~F.col("q_repeat")), old + 1)
+        if old > 1:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(old - 1)}")
+            delete_path(self.spark, self._path(old - 1))
 
 
-def fold(changes: DataFrame, payload: Sequence[str] = PAYLOAD) -> DataFrame:
-    """State after all changes; see ChangeRuns.state."""
+def _last(*ops: int, of: str = "seq"):
+    return F.when(F.col("op").isin(*ops), F.col(of) if of == "seq" else F.struct(of))
+
+
+def _merged(changes: DataFrame) -> DataFrame:
+    """Of each key the sequence numbers and payload that decide its state, from changes partitioned
+    by key: one pass over each key's records in order of seq."""
+    order = Window.partitionBy(*KEY).orderBy("seq")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    facts = {"vec_seq": F.max(_last(INSERT)), "q_del": F.max(_last(DELETE)), "meta_seq": F.max(_last(INSERT, META))}
+    facts |= {f"q_{c}": F.last(_last(*((INSERT,) if c == "vec" else (INSERT, META)), of=c), True) for c in PAYLOAD if c in changes.columns}
+    named = changes.select(*KEY, *(f.over(whole).alias(n) for n, f in facts.items()), F.lead(F.lit(True)).over(order).alias("q_more"))
+    return named.where("q_more IS NULL")
 
-    def last(*ops: int):
-        return F.when(F.col("op").isin(*ops), F.col("seq"))
 
-    aggregates = [F.max(last(INSERT)).alias("vec_seq"), F.max(last(DELETE)).alias("q_del"), F.max(last(INSERT, META)).alias("meta_seq")]
+def _live(keys: DataFrame, payload: Sequence[str]) -> DataFrame:
+    live = keys.where(F.col("vec_seq").isNotNull() & (F.col("q_del").isNull() | (F.col("vec_seq") > F.col("q_del"))))
+    return live.select(*KEY, "vec_seq", "meta_seq", *(F.col(f"q_{c}")[c].alias(c) for c in payload))
+
+
+def fold(changes: DataFrame, payload: Sequence[str] = PAYLOAD) -> DataFrame:
+    """State after changes that lie in no store and no order, by an aggregation; see
+    ChangeRuns.state."""
+    facts = [F.max(_last(INSERT)).alias("vec_seq"), F.max(_last(DELETE)).alias("q_del"), F.max(_last(INSERT, META)).alias("meta_seq")]
     if "vec" in payload:
-        aggregates.append(F.max_by(F.struct("vec"), last(INSERT)).alias("q_vec"))
+        facts.append(F.max_by(F.struct("vec"), _last(INSERT)).alias("q_vec"))
     if "extra" in payload:
-        aggregates.append(F.max_by(F.struct("extra"), last(INSERT, META)).alias("q_extra"))
-    live = changes.groupBy(*KEY).agg(*aggregates).where(F.col("vec_seq").isNotNull() & (F.col("q_del").isNull() | (F.col("vec_seq") > F.col("q_del"))))
-    return live.select(*KEY, "vec_seq", "meta_seq", *(F.col(f"q_{c}")[c].alias(c) for c in payload))
+        facts.append(F.max_by(F.struct("extra"), _last(INSERT, META)).alias("q_extra"))
+    return _live(changes.groupBy(*KEY).agg(*facts), payload)
 
 
 def metadata_map(extra: str = "extra"):

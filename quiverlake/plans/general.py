@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from quiverlake.functions.tenants import tenant_of
 from quiverlake.operators.attributes import attributes_to_wide, key_list, unreadable_cells
-from quiverlake.operators.change_runs import PAYLOAD, ChangeRuns, changes_of, metadata_map
+from quiverlake.operators.change_runs import ChangeRuns, buckets_for, changes_of, metadata_map
 from quiverlake.operators.incremental import due_records
 from quiverlake.operators.key_profiles import heavy_keys, per_key
-from quiverlake.session import delete_path, shared_dir, shuffle_partitions, table
+from quiverlake.session import shared_dir, shuffle_partitions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 HEAVY_SHARE = 0.05
 #: Runs into which a replayed log is cut by arrival.
-REPLAY_RUNS = 3
-
-_stores: dict[str, str] = {}
+REPLAY_RUNS = 4
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
@@ -35,29 +33,26 @@ def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d).withColumn("unreadable_keys", F.array_join("unreadable_keys", ","))
 
 
-def _replayed(spark: SparkSession, d: str, query: str, payload: list[str]) -> ChangeRuns:
-    """The log appended in order of arrival, as REPLAY_RUNS runs."""
+def _replayed(spark: SparkSession, d: str, query: str) -> ChangeRuns:
+    """The log appended in order of arrival, as REPLAY_RUNS runs, with a compaction on the way."""
     log = table(spark, d, "oplog")
-    if query in _stores:  # of the call before; its result has been used
-        delete_path(spark, _stores[query])
-    root = _stores[query] = shared_dir(spark, query)
-    store = ChangeRuns(spark, root, shuffle_partitions(spark), payload)
     at = F.unix_micros("arrived_at")
-    low, high = log.agg(F.min(at), F.max(at)).first()
+    low, high, n = log.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
     low, high = low or 0, high or 0
+    store = ChangeRuns(spark, shared_dir(spark, query), buckets_for(n, shuffle_partitions(spark)), max_runs=REPLAY_RUNS - 1)
     slot = F.coalesce(F.least(F.floor((at - low) * REPLAY_RUNS / max(1, high - low)), F.lit(REPLAY_RUNS - 1)), F.lit(REPLAY_RUNS - 1))
     for k in range(REPLAY_RUNS):
-        store.append(changes_of(log.where(slot == k), payload))
+        store.append(changes_of(log.where(slot == k)))
     return store
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _replayed(spark, d, "p3_found", PAYLOAD).state([]).select("tenant_id", "id", "vec_seq", "meta_seq")
+    return _replayed(spark, d, "p3_found").state([]).select("tenant_id", "id", "vec_seq", "meta_seq")
 
 
 def p3_state(spark: SparkSession, d: str) -> DataFrame:
     """The stored ids with the size and sum of their vector and their sorted metadata."""
-    state = _replayed(spark, d, "p3_state", PAYLOAD).state()
+    state = _replayed(spark, d, "p3_state").state()
     meta = F.map_entries(metadata_map())
     return state.select(
         "tenant_id",

@@ -31,11 +31,16 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
     return spark
 
 
+#: Folders that this process made below the shared folder.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``. Only a local session may go
-    without it; a temporary folder is then set. A cluster session without it is an error,
+    without it; a temporary folder is then set. What is written there stays until ``release``, as
+    frames may still read it. A cluster session without it is an error,
     as a machine-local folder would not be readable from other executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -44,7 +49,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quiverlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quiverlake/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{base.rstrip('/')}/quiverlake/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process wrote; frames read from them end."""
+    while _made:
+        delete_path(spark, _made.pop())
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -58,5 +70,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Shuffle partitions for so many rows: the session's number, or more, to hold about ``each``."""
+    return max(shuffle_partitions(spark), -(-rows // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

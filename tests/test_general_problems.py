@@ -129,7 +129,29 @@ def test_plan_merges_runs_without_shuffle(spark):
         store.append(changes_of(spark.createDataFrame(_log(k, 50), LOG)))
     assert store.runs() == 2
     plan = store.state()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    assert "Exchange" not in plan and "HashAggregate" not in plan and "Window" in plan
+
+
+def test_frames_outlive_appends_and_a_compaction(spark):
+    store = ChangeRuns(spark, shared_dir(spark, "t-frames"), 3, max_runs=99)
+    log = _log(5, 90)
+    store.append(changes_of(spark.createDataFrame(log[:40], LOG)))
+    store.append(changes_of(spark.createDataFrame(log[40:60], LOG)))
+    before = store.state()
+    store.compact()
+    store.append(changes_of(spark.createDataFrame(log[60:], LOG)))
+    after = store.state()
+    pick = ["tenant_id", "id", "vec_seq", "meta_seq", "vec", "extra"]
+    assert sorted(tuple(r) for r in before.select(*pick).collect()) == _play(log[:60])
+    assert sorted(tuple(r) for r in after.select(*pick).collect()) == _play(log)
+
+
+def test_queries_can_be_held_side_by_side(spark):
+    from quiverlake.plans.general import p3_found
+
+    a = p3_found(spark, "/root/testdata/sf0.001")
+    b = p3_found(spark, "/root/testdata/sf0.001")
+    assert a.count() == b.count() > 0
 
 
 RUNS = "tenant_id string, shard int, run_no bigint, snapshot_seq bigint, status string"
