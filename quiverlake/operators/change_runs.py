@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiverlake.functions.tenants import tenant_of
-from quiverlake.session import delete_path
+from quiverlake.session import delete_path, list_names
 
 INSERT, DELETE, META = 1, 2, 3
 KEY = ["tenant_id", "id"]
@@ -75,9 +75,7 @@ class ChangeRuns:
         self._prefix = "q_" + re.sub(r"\W", "_", self.root)[-80:]
 
     def _names(self, path: str) -> list[str]:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return list_names(self.spark, path)
 
     def version(self) -> int:
         """The newest committed version, 0 without one."""

@@ -1,91 +1,159 @@
 """The records a run has to process after the last successful one (problem 7).
 
-The run rereads each log from the oldest run that was still open when the last success ended,
-and removes what was processed before by an anti join of (log, sequence) pairs against the
-ledger of processed pairs. The contiguity test is distributed too: a log that holds a third of
-all records is spread over all tasks by (log, sequence).
+A run rereads each log from the oldest run that was still open at the last success, and removes
+what was processed before by an anti join of (log, sequence) pairs against the ledger of processed
+pairs. The ledger is a table: a run's pairs are added when its work is done, so that a run that
+dies in between is repeated as a whole. The contiguity test is distributed too: a log that holds a
+third of all records is spread over all tasks by (log, sequence).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.functions.tenants import tenant_of
+from quiverlake.session import delete_path, list_names
 
 LOG = ["tenant_id", "shard"]
+PAIRS = "tenant_id string, shard int, seq bigint"
+#: Statuses of runs that have ended without success; other runs than these and the successful ones
+#: are open until they have a finished_at.
+ENDED = ("failed", "aborted")
+_ZERO = "cast(0 as bigint)"
+
+
+class Ledger:
+    """(tenant_id, shard, seq) of processed records, below a folder that all executors share: one
+    folder a run, which counts once its ``_SUCCESS`` file exists."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def runs(self) -> list[int]:
+        """Numbers of the committed runs."""
+        found = (int(n[4:]) for n in list_names(self.spark, self.root) if re.fullmatch(r"run-\d+", n))
+        return sorted(n for n in found if "_SUCCESS" in list_names(self.spark, self._path(n)))
+
+    def _path(self, run: int) -> str:
+        return f"{self.root}/run-{run}"
+
+    def commit(self, run: int, records: DataFrame) -> None:
+        """Note a run's records; the same run again takes the place of what it noted before."""
+        records.select("tenant_id", F.col("shard").cast("int").alias("shard"), F.col("seq").cast("bigint").alias("seq")).write.mode("overwrite").parquet(self._path(run))
+
+    def pairs(self) -> DataFrame:
+        runs = self.runs()
+        if not runs:
+            return self.spark.createDataFrame([], PAIRS)
+        return self.spark.read.schema(PAIRS).parquet(*map(self._path, runs))
+
+    def forget(self, positions: DataFrame, run: int) -> None:
+        """Fold all runs into one without the pairs that are never reread; positions: as from
+        last_success. run: number of the folded run, larger than all others."""
+        old = self.runs()
+        kept = self.pairs().join(positions.select(*LOG, "reread_from"), LOG, "left").where(F.col("seq") > F.coalesce("reread_from", F.expr(_ZERO)))
+        self.commit(run, kept)
+        for n in old:
+            delete_path(self.spark, self._path(n))
+
+
+def _column(df: DataFrame, name: str, kind: str):
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
 def last_success(runs: DataFrame) -> DataFrame:
     """Per log: ``done_seq`` of its successful run with the highest run_no, and ``reread_from``.
 
-    runs: tenant_id, shard, run_no, snapshot_seq, status. Only status ok, in any letter case and
-    without outer blanks, is a success; runs without run_no or shard can't be ordered and don't
-    count, a success without snapshot_seq covers nothing (0). ``reread_from`` is where the oldest
-    work that was still open when the last success began may start: the position of the success
-    before it, or done_seq if the snapshot was put back to an older state. Logs without a success
-    have no row.
+    runs: tenant_id, shard, run_no, snapshot_seq, status, and started_at and finished_at if known.
+    Only status ok, in any letter case and without outer blanks, is a success; runs without run_no
+    or shard can't be ordered and don't count, a success without snapshot_seq covers nothing (0).
+    The runs open at the last success are itself and those before it that ended after it began, or
+    are not known to have ended. ``reread_from`` is the position from which the oldest of them
+    started: that of the success before it (0 without one), or done_seq if the snapshot was put
+    back to an older state. Logs without a success have no row.
     """
+    status = F.coalesce(F.lower(F.trim("status")), F.lit(""))
     r = runs.where(F.col("run_no").isNotNull() & F.col("shard").isNotNull()).select(
         tenant_of().alias("tenant_id"),
         "shard",
         F.col("run_no").cast("bigint").alias("run_no"),
-        F.coalesce(F.col("snapshot_seq").cast("bigint"), F.lit(0)).alias("snapshot_seq"),
-        (F.lower(F.trim("status")) == "ok").alias("ok"),
-    )
-    ok = r.where("ok").groupBy(*LOG, "run_no").agg(F.max("snapshot_seq").alias("snapshot_seq"))
-    # The two highest run numbers of each log are kept as a two-element array: algebraic, no sort.
-    top = ok.groupBy(*LOG).agg(
-        F.max(F.struct("run_no", "snapshot_seq")).alias("last"),
-        F.max("run_no").alias("last_no"),
-    )
-    before = (
-        ok.join(top.select(*LOG, "last_no"), LOG)
-        .where(F.col("run_no") < F.col("last_no"))
-        .groupBy(*LOG)
-        .agg(F.max_by("snapshot_seq", "run_no").alias("prior_seq"))
-    )
-    return top.join(before, LOG, "left").select(
-        *LOG,
-        F.col("last.snapshot_seq").alias("done_seq"),
-        F.least(F.col("last.snapshot_seq"), F.coalesce("prior_seq", F.lit(0).cast("bigint"))).alias("reread_from"),
+        F.when(status == "ok", F.coalesce(F.col("snapshot_seq").cast("bigint"), F.expr(_ZERO))).alias("ok_seq"),
+        F.when(status.isin(*ENDED) | (status == "ok"), F.coalesce(_column(runs, "finished_at", "timestamp"), _column(runs, "started_at", "timestamp"))).otherwise(_column(runs, "finished_at", "timestamp")).alias("ended_at"),
+        status.isin(*ENDED, "ok").alias("ended"),
+        _column(runs, "started_at", "timestamp").alias("began_at"),
     )
+    ok_no = F.when(F.col("ok_seq").isNotNull(), F.col("run_no"))
+    top = r.groupBy(*LOG).agg(F.max(ok_no).alias("q_last"), F.max(F.when(F.col("ok_seq").isNotNull(), F.struct("run_no", "ok_seq"))).alias("q_top"), F.max(F.when(F.col("ok_seq").isNotNull(), F.struct("run_no", "began_at"))).alias("q_began")).where("q_last IS NOT NULL")
+    r = r.join(top, LOG)
+    is_open = F.coalesce(F.col("ended_at") > F.col("q_began.began_at"), ~F.col("ended"))
+    oldest = r.where((F.col("run_no") <= F.col("q_last")) & ((F.col("run_no") == F.col("q_last")) | is_open)).groupBy(*LOG).agg(F.min("run_no").alias("q_open"))
+    before = r.join(oldest, LOG).where(F.col("ok_seq").isNotNull() & (F.col("run_no") < F.col("q_open"))).groupBy(*LOG).agg(F.max(F.struct("run_no", "ok_seq")).alias("q_before"))
+    done = F.col("q_top.ok_seq")
+    return top.join(before, LOG, "left").select(*LOG, done.alias("done_seq"), F.least(done, F.coalesce("q_before.ok_seq", F.expr(_ZERO))).alias("reread_from"))
 
 
-def processed_ledger(successes: DataFrame) -> DataFrame:
-    """(log, seq) pairs that the last success processed beyond reread_from."""
-    return successes.where(F.col("done_seq") > F.col("reread_from")).select(
-        *LOG, F.explode(F.sequence(F.col("reread_from") + 1, F.col("done_seq"))).alias("seq")
-    )
+def _placed(log: DataFrame, positions: DataFrame) -> DataFrame:
+    """The log's records with the positions of their log (0 without a success)."""
+    records = log.where(F.col("shard").isNotNull() & F.col("seq").isNotNull()).select(tenant_of().alias("tenant_id"), F.col("shard"), F.col("seq").cast("bigint").alias("seq"))
+    at = positions.select(*LOG, F.col("done_seq").alias("q_done"), F.col("reread_from").alias("q_from"))
+    return records.join(at, LOG, "left").select(*LOG, "seq", F.coalesce("q_done", F.expr(_ZERO)).alias("done_seq"), F.coalesce("q_from", F.expr(_ZERO)).alias("reread_from"))
 
 
-def due_records(log: DataFrame, runs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def _reread(log: DataFrame, positions: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Records beyond reread_from that aren't in the ledger."""
+    # The ledger grows with the logs and its size isn't known beforehand, so it is never broadcast.
+    return _placed(log, positions).where("seq > reread_from").join(ledger.select(*LOG, "seq").hint("merge"), [*LOG, "seq"], "left_anti")
+
+
+def covered_records(log: DataFrame, positions: DataFrame) -> DataFrame:
+    """(tenant_id, shard, seq), each once, of what the runs up to the last success have processed of
+    the reread range: what the ledger of a log that was kept without one has to hold."""
+    return _placed(log, positions).where("seq > reread_from AND seq <= done_seq").select(*LOG, "seq").distinct()
+
+
+def due_records(log: DataFrame, runs: DataFrame, ledger: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
     """(tenant_id, shard, seq) of the records due in the next run of each log, each once.
 
     With S the done_seq of the log (0 without a success) these are S+1, S+2, ... as far as the
     log holds them without a gap. log: tenant_id, shard, seq; further columns are ignored. Rows
-    without shard or seq are no records. Repeated deliveries count once. ledger: processed pairs
-    within the reread range; by default derived from the runs. Empty tables give no rows.
+    without shard or seq are no records. Repeated deliveries count once. ledger: processed pairs;
+    one of them is never due again, and counts as held in the test for gaps only if it lies at or
+    below S. Without a ledger nothing before S is reread. positions: last_success(runs), if at hand.
+    Empty tables give no rows.
     """
-    at = last_success(runs)
-    ledger = processed_ledger(at) if ledger is None else ledger
-    zero = F.lit(0).cast("bigint")
-    records = log.where(F.col("shard").isNotNull() & F.col("seq").isNotNull()).select(
-        tenant_of().alias("tenant_id"), F.col("shard"), F.col("seq").cast("bigint").alias("seq")
-    )
-    reread = (
-        records.join(at.select(*LOG, "done_seq", "reread_from"), LOG, "left")
-        .where(F.col("seq") > F.coalesce("reread_from", zero))
-        .select(*LOG, "seq", F.coalesce("done_seq", zero).alias("done_seq"))
-    )
-    # The ledger grows with the logs and its size isn't known beforehand, so it is never broadcast.
-    new = reread.join(ledger.select(*LOG, "seq").hint("merge"), [*LOG, "seq"], "left_anti")
-    # Each record marks itself present and its successor as possibly missing, so that one
-    # grouping by (log, seq) removes repeats and finds the ends of all contiguous stretches.
-    marks = new.select(*LOG, "done_seq", F.explode(F.array(F.struct("seq", F.lit(True).alias("here")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("here")))).alias("m"))
-    starts = records.select(*LOG).distinct().join(at.select(*LOG, "done_seq"), LOG, "left").select(*LOG, F.coalesce("done_seq", zero).alias("done_seq"))
-    starts = starts.select(*LOG, "done_seq", (F.col("done_seq") + 1).alias("seq"), F.lit(False).alias("here"))
-    marks = marks.select(*LOG, "done_seq", "m.seq", "m.here").unionByName(starts)
-    seqs = marks.groupBy(*LOG, "seq").agg(F.bool_or("here").alias("here"))
+    at = last_success(runs) if positions is None else positions
+    new = _placed(log, at) if ledger is None else _reread(log, at, ledger)
+    new = new.where("seq > done_seq")
+    # Each record marks itself as held, and its successor and the first seq due as possibly missing, so
+    # that one grouping by (log, seq) removes repeats and finds the ends of all contiguous stretches.
+    mark = lambda seq, here: F.struct(seq.alias("seq"), F.lit(here).alias("here"))
+    marks = new.select(*LOG, F.explode(F.array(mark(F.col("seq"), True), mark(F.col("seq") + 1, False), mark(F.col("done_seq") + 1, False))).alias("m"))
+    seqs = marks.select(*LOG, "m.seq", "m.here").groupBy(*LOG, "seq").agg(F.bool_or("here").alias("here"))
     gaps = seqs.where(~F.col("here")).groupBy(*LOG).agg(F.min("seq").alias("first_gap"))
     return seqs.where("here").join(gaps, LOG).where(F.col("seq") < F.col("first_gap")).select(*LOG, "seq")
+
+
+def late_records(log: DataFrame, runs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(tenant_id, shard, seq), each once, of records at or before the last success that no run has
+    processed: delivered after the runs had passed them. They are not due, as snapshots count by
+    their seq, but a caller may want them."""
+    return _reread(log, last_success(runs), ledger).where("seq <= done_seq").select(*LOG, "seq").distinct()
+
+
+def process_new(log: DataFrame, runs: DataFrame, ledger: Ledger, run: int, work: Callable[[DataFrame], None]) -> bool:
+    """Do ``work`` on the records due in run number ``run`` and note them in the ledger; False if this
+    run is in the ledger already.
+
+    work must write its result as a whole under the run's number: if it, or the note after it,
+    fails, the next call with the same number does the same records again, as nothing was noted.
+    """
+    if run in ledger.runs():
+        return False
+    due = due_records(log, runs, ledger.pairs())
+    work(due)
+    ledger.commit(run, due)
+    return True

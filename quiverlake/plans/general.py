@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from quiverlake.functions.tenants import tenant_of
 from quiverlake.operators.attributes import attributes_to_wide, key_list, unreadable_cells
 from quiverlake.operators.change_runs import ChangeRuns, buckets_for, changes_of, metadata_map
-from quiverlake.operators.incremental import due_records
+from quiverlake.operators.incremental import Ledger, covered_records, due_records, last_success
 from quiverlake.operators.key_profiles import heavy_keys, per_key
-from quiverlake.session import shared_dir, shuffle_partitions, table
+from quiverlake.session import shared_dir, shuffle_partitions, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,7 +85,12 @@ def p6_oplog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return due_records(table(spark, d, "oplog"), table(spark, d, "snapshots"))
+    """The ledger holds what the runs of snapshots covered of the range that is reread."""
+    log, runs = table(spark, d, "oplog"), table(spark, d, "snapshots")
+    at = written(last_success(runs), "p7-positions")
+    ledger = Ledger(spark, shared_dir(spark, "p7-ledger"))
+    ledger.commit(0, covered_records(log, at))
+    return due_records(log, runs, ledger.pairs(), at)
 
 
 QUERIES: dict[str, Query] = {

@@ -185,6 +185,57 @@ def test_due_records_equals_brute_force(spark):
     assert got == sorted(want, key=repr)
 
 
+TIMED = RUNS + ", started_at timestamp, finished_at timestamp"
+
+
+def test_reread_starts_at_the_oldest_open_run(spark):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    runs = [
+        ("a", 1, 1, 10, "ok", at(0), at(1)), ("a", 1, 2, 20, "running", at(2), None), ("a", 1, 3, 30, "ok", at(3), at(4)), ("a", 1, 4, 40, "ok", at(5), at(6)), ("a", 1, 5, 50, "running", at(7), None),
+        ("b", 1, 1, 10, "ok", at(0), at(1)), ("b", 1, 2, 20, "failed", at(2), at(3)), ("b", 1, 3, 30, "ok", at(4), at(5)), ("b", 1, 4, 35, "ok", at(6), at(7)),
+        ("c", 1, 1, 10, "ok", at(0), at(1)), ("c", 1, 2, 20, "ok", at(2), at(9)), ("c", 1, 3, 30, "ok", at(3), at(4)),
+        ("d", 1, 1, 10, "ok", at(0), at(1)), ("d", 1, 2, 4, "ok", at(2), at(3)), ("e", 1, 1, 7, "failed", at(0), at(1)),
+    ]
+    got = {r["tenant_id"]: (r["done_seq"], r["reread_from"]) for r in last_success(spark.createDataFrame(runs, TIMED)).collect()}
+    assert got == {"a": (40, 10), "b": (35, 30), "c": (30, 10), "d": (4, 4)}
+
+
+def test_a_crash_between_work_and_ledger_neither_skips_nor_repeats(spark):
+    import pytest
+
+    from quiverlake.operators.incremental import Ledger, late_records, process_new
+
+    seqs = "tenant_id string, shard int, seq bigint"
+    ledger = Ledger(spark, shared_dir(spark, "t-ledger"))
+    log = spark.createDataFrame([("a", 1, s) for s in (1, 2, 2, 3, 5)] + [("b", 1, 1)], seqs)
+    runs = spark.createDataFrame([], TIMED)
+    done: dict[int, list] = {}
+
+    def work(run, fail=False):
+        def take(due):
+            done[run] = rows(due)
+            if fail:
+                raise RuntimeError("lost")
+
+        return take
+
+    with pytest.raises(RuntimeError):
+        process_new(log, runs, ledger, 1, work(1, True))
+    assert ledger.runs() == [] and process_new(log, runs, ledger, 1, work(1)) and done[1] == [("a", 1, 1), ("a", 1, 2), ("a", 1, 3), ("b", 1, 1)]
+    assert not process_new(log, runs, ledger, 1, work(1))
+    # The run's snapshot lags behind its ledger: what is noted isn't due again.
+    runs = spark.createDataFrame([("a", 1, 1, 3, "ok", None, None), ("b", 1, 1, 1, "ok", None, None)], TIMED)
+    more = log.unionByName(spark.createDataFrame([("a", 1, 4), ("b", 1, 2)], seqs))
+    assert process_new(more, runs, ledger, 2, work(2)) and done[2] == [("a", 1, 4), ("a", 1, 5), ("b", 1, 2)]
+    assert sorted(r[2] for r in ledger.pairs().where("tenant_id = 'a'").collect()) == [1, 2, 3, 4, 5] and rows(late_records(more, runs, ledger.pairs())) == []
+    runs = spark.createDataFrame([("a", 1, 1, 3, "ok", None, None), ("a", 1, 2, 7, "ok", None, None), ("a", 1, 3, 8, "ok", None, None)], TIMED)
+    assert rows(late_records(more.unionByName(spark.createDataFrame([("a", 1, 8)], seqs)), runs, ledger.pairs())) == [("a", 1, 8)]
+    ledger.forget(last_success(runs), 9)
+    assert ledger.runs() == [9] and rows(ledger.pairs()) == [("b", 1, 1), ("b", 1, 2)]
+
+
 def test_due_records_empty(spark):
     log = spark.createDataFrame([], "tenant_id string, shard int, seq bigint")
     runs = spark.createDataFrame([], RUNS)
