@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions.tenants import tenant_of
-from quiverlake.session import shared_dir
+from quiverlake.session import written as written
 
 
 def usable_rows(vectors: DataFrame, tenants: DataFrame, *extra: str) -> DataFrame:
@@ -42,13 +42,6 @@ def current_vectors(vectors: DataFrame, tenants: DataFrame, *extra: str) -> Data
     return latest(usable_rows(vectors, tenants, *extra)).drop("received_at")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, for several reads."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column whose lists all have ``dim`` items."""
     if isinstance(column, pa.ChunkedArray):
