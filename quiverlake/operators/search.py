@@ -2,12 +2,14 @@
 
 Results are ordered by (distance, id). A batch of queries is compared block by block in Arrow
 batches: the queries are sent to the executors in pieces of bounded size, each batch of vectors
-meets a piece in one matrix product, and only its k nearest rows for each query leave the task.
+meets a piece in matrix products of bounded size, and each task keeps the k nearest rows of each
+query; only these leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,11 @@ from quiverlake.functions.filters import Clause, matches
 
 MAX_TOP_K = 1000
 MAX_EF = 10_000
-#: Bytes of query vectors sent to the executors at once.
+#: Bytes of query vectors sent to the executors at once, and rows that a task keeps for these at most.
 MAX_QUERY_BYTES = 32 << 20
+MAX_KEPT_ROWS = 4 << 20
+#: Numbers in one product of queries and rows.
+TILE_NUMBERS = 4 << 20
 
 
 def check_top_k(k: int) -> None:
@@ -83,22 +88,76 @@ def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, 1 - dot / np.where(n > 0, n, 1), 1.0)
 
 
-def query_pieces(queries: DataFrame, most: int = MAX_QUERY_BYTES) -> Iterator[list]:
-    """(query_id, vec) rows in pieces of at most about ``most`` bytes, each collected by itself."""
+def query_pieces(queries: DataFrame, most: int = MAX_QUERY_BYTES, rows: int = MAX_KEPT_ROWS) -> Iterator[list]:
+    """(query_id, vec) rows in pieces of at most about ``most`` bytes and ``rows`` rows, each
+    collected by itself."""
     own = queries.where(F.col("vec").isNotNull()).select("query_id", "vec")
-    total = own.agg(F.sum(F.size("vec").cast("bigint") * 4)).first()[0] or 0
-    n = max(1, -(-total // most))
+    count, total = own.agg(F.count(F.lit(1)), F.sum(F.size("vec").cast("bigint") * 4)).first()
+    n = max(1, -(-(total or 0) // most), -(-count // max(1, rows)))
     for k in range(n):
         part = own if n == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)
         yield part.collect()
 
 
+def _sortable(ids: pa.Array) -> np.ndarray:
+    """The ids as an array that NumPy sorts as Spark does."""
+    if pa.types.is_decimal(ids.type):
+        return np.array([int(i) for i in ids.to_pylist()], np.uint64)
+    if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type):
+        return np.array(ids.to_pylist(), "U")
+    return ids.to_numpy(zero_copy_only=False)
+
+
+class KBest:
+    """The k nearest rows so far of each of some queries, by (score, id)."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = q, k, metric
+        self.query, self.ids, self.score = np.zeros(0, np.int64), None, np.zeros(0)
+        self.worst = np.full(len(q), np.inf)  # score of the k-th
+        size = np.sqrt((q * q).sum(1))
+        self.room = 1e-12 * (1 + size) ** 2  # for the rounding of products
+
+    def take(self, x: np.ndarray, ids: np.ndarray) -> None:
+        """Compare all queries with rows x."""
+        step = max(1, TILE_NUMBERS // max(1, len(x)))
+        longest = 1 + float(np.sqrt((x * x).sum(1).max(initial=0)))
+        found = []
+        for at in range(0, len(self.q), step):
+            tile = self.q[at : at + step]
+            s = _scores(self.metric, tile, x)
+            cut = self.worst[at : at + step]
+            if len(x) > self.k:
+                cut = np.minimum(cut, np.partition(s, self.k - 1, axis=1)[:, self.k - 1])
+            slack = self.room[at : at + step] * longest**2
+            i, j = np.nonzero(s <= (cut + slack)[:, None])
+            for a in range(0, len(i), 1 << 18):
+                own, rows = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
+                found.append((at + own, rows, _exact(self.metric, tile[own], x[rows])))
+        if found:
+            query, rows, score = (np.concatenate(c) for c in zip(*found))
+            self._merge(query, ids[rows], score)
+
+    def _merge(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if self.ids is not None:
+            query, ids, score = np.concatenate([self.query, query]), np.concatenate([self.ids, ids]), np.concatenate([self.score, score])
+        order = np.lexsort((ids, score, query))
+        query = query[order]
+        starts = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(starts, append=len(query)))
+        keep = order[place < self.k]
+        self.query, self.ids, self.score = query[place < self.k], ids[keep], score[keep]
+        last = place == self.k - 1
+        self.worst[query[last]] = score[order[last]]
+
+
 def knn_join(queries: DataFrame, collection: DataFrame, k: int, metric: str = "cosine", by: str | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k rows of the collection nearest to each query.
 
     queries: query_id, vec; collection: id, vec, and ``by`` if given: results are then cut to k
-    for each query and value of ``by`` (a shard, say), which is put out too. Pairs of vectors of
-    different length are left out; null ids and vectors have no part. Empty tables give no rows.
+    for each query and value of ``by`` (a shard, say), which is put out too. Of rows at equal distance
+    those with the smallest ids count, however many there are. Pairs of vectors of different length
+    are left out; null ids and vectors have no part. Empty tables give no rows.
     """
     check_top_k(k)
     if metric not in METRICS:
@@ -109,34 +168,34 @@ def knn_join(queries: DataFrame, collection: DataFrame, k: int, metric: str = "c
     qtype = queries.schema["query_id"].dataType
     fields = [T.StructField("query_id", qtype), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType()), *(rows.schema[c] for c in group)]
     out = None
-    for piece in query_pieces(queries):
+    for piece in query_pieces(queries, rows=MAX_KEPT_ROWS // k):
         shared = spark.sparkContext.broadcast([(r[0], np.array(r[1], np.float32)) for r in piece])  # within MAX_QUERY_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            by_dim: dict[int, list] = {}
+            by_dim: dict[int, tuple[list, list]] = {}
             for qid, v in shared.value:
-                by_dim.setdefault(len(v), []).append((qid, v))
+                names, vs = by_dim.setdefault(len(v), ([], []))
+                names.append(qid)
+                vs.append(v)
+            dims = {dim: (names, np.array(vs, np.float64).reshape(len(vs), dim)) for dim, (names, vs) in by_dim.items() if dim}
+            best: dict[tuple, KBest] = {}
             for b in batches:
-                vec = b.column(1)
-                sizes = vec.value_lengths().to_numpy(zero_copy_only=False)
+                sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
                 groups = np.array(b.column(2).to_pylist(), object) if by else None
-                for dim, qs in by_dim.items():
+                for dim, (_, q) in dims.items():
                     at = np.flatnonzero(sizes == dim)
-                    if not len(at) or not dim:
-                        continue
-                    x = vec.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                    q = np.array([v for _, v in qs], np.float64)
-                    parts = [at_g for g in (sorted(set(groups[at]), key=repr) if by else [None]) if len(at_g := (np.flatnonzero(groups[at] == g) if by else np.arange(len(at))))]
-                    for part in parts:
-                        s = _scores(metric, q, x[part])
-                        few = min(len(part), k + 8)  # some room for the rounding of the product
-                        near = np.argpartition(s, few - 1, axis=1)[:, :few] if few < len(part) else np.tile(np.arange(len(part)), (len(qs), 1))
-                        rows_at = at[part[near.ravel()]]
-                        score = np.concatenate([_exact(metric, q[i][None], x[part[near[i]]]) for i in range(len(qs))])
-                        cols = [pa.array([qs[i][0] for i in np.repeat(np.arange(len(qs)), few)], to_arrow_type(qtype)), b.column(0).take(pa.array(rows_at)), pa.array(score)]
-                        if by:
-                            cols.append(b.column(2).take(pa.array(rows_at)))
-                        yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+                    for g in sorted(set(groups[at]), key=repr) if by else [None] * bool(len(at)):
+                        own = at[groups[at] == g] if by else at
+                        x = b.column(1).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                        best.setdefault((dim, g), KBest(q, k, metric)).take(x, _sortable(b.column(0).take(pa.array(own))))
+            for (dim, g), found in best.items():
+                names = dims[dim][0]
+                for a in range(0, len(found.query), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    cols = [pa.array([names[i] for i in found.query[part]], to_arrow_type(qtype)), _as_ids(found.ids[part], to_arrow_type(fields[1].dataType)), pa.array(found.score[part])]
+                    if by:
+                        cols.append(pa.array([g] * len(cols[0]), to_arrow_type(fields[3].dataType)))
+                    yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
         near = rows.mapInArrow(run, T.StructType(fields))
         out = near if out is None else out.unionByName(near)
@@ -144,6 +203,10 @@ def knn_join(queries: DataFrame, collection: DataFrame, k: int, metric: str = "c
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", *group, "rank", "id", "score")
 
 
+def _as_ids(ids: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array([Decimal(int(i)) for i in ids] if pa.types.is_decimal(kind) else ids, kind)
+
+
 def scatter_gather(queries: DataFrame, collection: DataFrame, k: int, metric: str, shard: str) -> DataFrame:
     """(query_id, rank, id, score): each shard's k nearest, merged and cut to k.
 
