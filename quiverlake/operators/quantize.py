@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quiverlake.functions.distance import l2_squared
+from quiverlake.operators import records
 from quiverlake.operators.sampling import hashed_sample
-from quiverlake.operators.search import _exact, check_top_k, query_pieces
+from quiverlake.operators.search import check_top_k, query_pieces
 
 MAX_CENTROIDS = 256
 #: Rows of the sample on which codebooks and lists are trained.
@@ -168,8 +170,16 @@ def decode(codes: DataFrame, book: Codebook) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if c is None or len(c) != m or any(x is None or not 0 <= x < k for x in c) else shared.value.decode(np.array([c]))[0].tolist() for c in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "vec"])
+            code = b.column(1)
+            at = np.flatnonzero(code.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == m)
+            flat = code.take(pa.array(at)).flatten()
+            c = flat.fill_null(-1).to_numpy(zero_copy_only=False).reshape(-1, m)
+            good = ((c >= 0) & (c < k)).all(1)
+            x = shared.value.decode(c[good])
+            sizes = np.zeros(b.num_rows, np.int64)
+            sizes[at[good]] = x.shape[1]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.concatenate([sizes == 0, [False]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.float64()))], names=["id", "vec"])
 
     return codes.select("id", "code").mapInArrow(run, T.StructType([codes.schema["id"], T.StructField("vec", T.ArrayType(T.DoubleType()))]))
 
@@ -227,7 +237,9 @@ def code_search(queries: DataFrame, codes: DataFrame, book: Codebook, k: int, li
                     few = _first(s, k)
                     yield pa.RecordBatch.from_arrays([pa.array([qid] * len(few), to_arrow_type(fields[0].dataType)), b.column(0).take(pa.array(at[few])), pa.array(s[few])], names=["query_id", "id", "score"])
 
-        part = good.mapInArrow(run, T.StructType(fields))
+        # Only the lists that a query of this piece probes are read; see write_index.
+        probed = None if lists is None else sorted({int(i) for _, _, near in qs for i in near})
+        part = (good if probed is None else good.where(F.col("list_id").isin(probed))).mapInArrow(run, T.StructType(fields))
         out = part if out is None else out.unionByName(part)
     return _ranked(out, k)
 
@@ -246,16 +258,7 @@ def rerank(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) ->
     """(query_id, rank, id, score): found candidates ordered by their exact squared L2 and cut to k.
     Candidates without a vector, or with one of another length, are left out."""
     c = found.select("query_id", "id").join(vectors.select("id", "vec"), "id").join(queries.select("query_id", F.col("vec").alias("q_vec")), "query_id")
-    c = c.where(F.size("vec") == F.size("q_vec"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, q = b.column(2).to_pylist(), b.column(3).to_pylist()
-            s = [float(_exact("l2", np.array(u, np.float64)[None], np.array(v, np.float64)[None])[0]) for u, v in zip(q, x)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
-
-    fields = T.StructType([found.schema["query_id"], found.schema["id"], T.StructField("score", T.DoubleType())])
-    scored = c.select("query_id", "id", "vec", "q_vec").mapInArrow(run, fields)
+    scored = c.select("query_id", "id", l2_squared("q_vec", "vec").alias("score"))
     return _ranked(scored.where(~F.isnan("score") & (F.col("score") < float("inf"))), k)
 
 
@@ -302,6 +305,39 @@ def probed_lists(queries: DataFrame, lists: np.ndarray, probes: int) -> DataFram
 
 
 def ivf_index(vectors: DataFrame, book: Codebook, lists: np.ndarray) -> DataFrame:
-    """(id, code, list_id): the codes of an inverted-file index. Written with
-    ``partitionBy("list_id")``, probes read only their lists."""
-    return encode(vectors, book).join(assign_lists(vectors, lists), "id")
+    """(id, code, list_id): the codes of an inverted-file index, in one pass over the vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast((book, lists))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_book, own_lists = shared.value
+        for b in batches:
+            x = _rows(b.column(1), own_book.dim)
+            codes = own_book.encode(x)
+            offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel())), pa.array(_squared(x, own_lists).argmin(1).astype(np.int32))], names=["id", "code", "list_id"])
+
+    fields = [vectors.schema["id"], T.StructField("code", T.ArrayType(T.ShortType())), T.StructField("list_id", T.IntegerType())]
+    return vectors.where(F.size("vec") == book.dim).select("id", "vec").mapInArrow(run, T.StructType(fields))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Write an index with a folder for each list, so that searches read only the lists they probe."""
+    index.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+
+def index_insert(index: DataFrame, vectors: DataFrame, book: Codebook, order: str, lists: np.ndarray | None = None) -> DataFrame:
+    """The index after inserting vectors: id, vec and ``order``, of which the row with the largest
+    value counts for each id. An id that is there already gets its new code, and moves to its new list."""
+    last = vectors.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("vec"), order).alias("r")).select("id", "r.vec")
+    new = encode(last, book) if lists is None else ivf_index(last, book, lists)
+    return index.join(new.select("id"), "id", "left_anti").select(*index.columns).unionByName(new.select(*index.columns))
+
+
+def index_delete(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without the ids; unknown ids do nothing."""
+    return records.delete(index, ids)
+
+
+def index_size(index: DataFrame) -> DataFrame:
+    """(n_live,): the number of codes."""
+    return records.count(index)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,26 +43,29 @@ def burst(max_qps: Column) -> Column:
 
 def rate_limited(requests: DataFrame, key: str, at: str, rate: float) -> DataFrame:
     """requests with ``allowed``: a token bucket of the given rate and its burst for each key, over
-    event time; requests of equal time in order of ``request_id``. The simulation is sequential
-    within a key, so keys are the unit of parallel work."""
-    import pandas as pd
-
+    event time; requests of equal time in order of ``request_id``. A bucket is sequential by
+    nature, so keys are the unit of parallel work; a key's requests stream through its task in
+    order, with the bucket as the only state. Null times come first and let no time pass."""
     size = max(1.0, float(int(rate)))
+    own = requests.select(key, at, "request_id").withColumn("q_at", F.unix_micros(F.col(at).cast("timestamp")))
+    fields = requests.select(key, at, "request_id").withColumn("allowed", F.lit(True)).schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, "request_id"], kind="stable").reset_index(drop=True)
-        seconds = pdf[at].astype("int64").to_numpy() / (1e9 if str(pdf[at].dtype).startswith("datetime64[ns") else 1e6)
-        tokens, last, out = size, None, []
-        for s in seconds:
-            tokens = size if last is None else min(size, tokens + (s - last) * rate)
-            last = s
-            out.append(tokens >= 1)
-            tokens -= tokens >= 1
-        pdf["allowed"] = out
-        return pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, tokens, last = object(), size, None
+        for b in batches:
+            out = []
+            for name, micros in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                if name != have:
+                    have, tokens, last = name, size, None
+                s = last if micros is None else micros / 1e6
+                if last is not None:
+                    tokens = min(size, tokens + (s - last) * rate)
+                last = s
+                out.append(tokens >= 1)
+                tokens -= tokens >= 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.bool_())], names=fields.names)
 
-    fields = requests.select(key, at, "request_id").withColumn("allowed", F.lit(True)).schema
-    return requests.select(key, at, "request_id").groupBy(key).applyInPandas(run, fields)
+    return own.repartition(key).sortWithinPartitions(key, "q_at", "request_id").mapInArrow(run, fields)
 
 
 def keys_allowing(keys: DataFrame, tenant: str, now: Column | None = None) -> DataFrame:
@@ -84,5 +90,3 @@ def drop_tenant_from_keys(keys: DataFrame, tenant: str) -> DataFrame:
 
 def list_keys(keys: DataFrame) -> DataFrame:
     return keys.orderBy("created_at", "key_id")
-
-

@@ -51,7 +51,7 @@ def test_knn_join_odd_rows(spark):
 def test_queries_in_pieces(spark, monkeypatch):
     x = np.random.default_rng(1).normal(size=(40, 4)).astype(np.float32)
     whole = rows(search.knn_join(frame(spark, x, "query_id"), frame(spark, x), 3, "l2"))
-    monkeypatch.setattr(search.query_pieces, "__defaults__", (100,))
+    monkeypatch.setattr(search.query_pieces, "__defaults__", (100, 1 << 22))
     assert rows(search.knn_join(frame(spark, x, "query_id"), frame(spark, x), 3, "l2")) == whole
 
 
@@ -226,3 +226,62 @@ def test_measures_and_texts(spark):
     assert rows(text.distinct_texts(docs.union(docs)).select("n_rows")) == [(2,)]
     assert [r[0] is None for r in docs.select(text.text_id("text")).collect()] == [False, True, False]
     assert sorted(r[0] for r in text.text_problems(docs).select("doc_id").collect()) == [2, 3]
+
+
+def test_percentiles_of_ranges_equal_sorting(spark):
+    rng = np.random.default_rng(5)
+    v, g = rng.integers(0, 60, 4000), rng.choice(["a", "b", None], 4000, p=[0.9, 0.05, 0.05])
+    df = spark.createDataFrame([(int(a), b) for a, b in zip(v, g)], "v int, g string").repartition(5)
+    points = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    want = lambda x: tuple(int(np.sort(x)[min(int(len(x) * p), len(x) - 1)]) for p in points.values())
+    assert rows(metrics.percentiles(df, "v", points)) == [want(v)]
+    assert {r[0]: tuple(r)[1:] for r in metrics.percentiles(df, "v", points, by=["g"]).collect()} == {k: want(v[[x == k for x in g]]) for k in ("a", "b", None)}
+
+
+def test_index_upkeep(spark, tmp_path):
+    x = _blobs(600, 16, 8, 0.2, 3)
+    v = frame(spark, x)
+    book, lists = quantize.train_codebook(v, 4, 16), quantize.train_lists(v, 8)
+    old, new = v.where("id < 400"), v.where("id >= 300").select("id", F.lit(1).alias("at"), "vec")
+    moved = v.where("id < 100").select("id", F.lit(2).alias("at"), F.transform("vec", lambda c: -c).alias("vec"))
+    stale = moved.select("id", F.lit(1).alias("at"), F.transform("vec", lambda c: c * 0).alias("vec"))
+    index = quantize.index_insert(quantize.ivf_index(old, book, lists), new.unionByName(moved).unionByName(stale), book, "at", lists)
+    want = quantize.ivf_index(v.where("id >= 100").select("id", "vec").unionByName(moved.select("id", "vec")), book, lists)
+    assert rows(index.select("id", "code", "list_id")) == rows(want)
+    flat = quantize.index_insert(quantize.encode(old, book), new, book, "at")
+    assert rows(flat) == rows(quantize.encode(v, book)) and quantize.index_size(flat).first()[0] == 600
+    less = quantize.index_delete(index, spark.range(50, 5000))
+    assert quantize.index_size(less).first()[0] == 50
+    quantize.write_index(index, str(tmp_path / "ivf"))
+    stored = spark.read.parquet(str(tmp_path / "ivf"))
+    q = frame(spark, x[:3], "query_id")
+    found = quantize.code_search(q, stored, book, 5, lists, 2)
+    assert rows(found) == rows(quantize.code_search(q, index, book, 5, lists, 2))
+    assert "PartitionFilters: [isnotnull(list_id" in found._jdf.queryExecution().toString() or "list_id#" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
+
+
+def test_decoding_of_malformed_codes(spark):
+    book = quantize.Codebook(np.arange(8.0).reshape(2, 2, 2))
+    codes = spark.createDataFrame([(1, [0, 1]), (2, [1]), (3, None), (4, [0, 2]), (5, [None, 1]), (6, [-1, 0]), (7, [1, 1]), (8, [])], "id int, code array<smallint>")
+    got = {r["id"]: r["vec"] for r in quantize.decode(codes, book).collect()}
+    assert got == {1: [0.0, 1.0, 6.0, 7.0], 7: [2.0, 3.0, 6.0, 7.0], **{i: None for i in (2, 3, 4, 5, 6, 8)}}
+
+
+def test_graph_upkeep(spark):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-1, 1, (900, 12)).astype(np.float32)
+    c = shard.with_shard(frame(spark, x), 3)
+    graphs = hnsw.build_graphs(c.where("id < 500"))
+    again = shard.with_shard(frame(spark, -x).where("id < 50"), 3)
+    grown = hnsw.insert_into_graphs(graphs, c.where("id >= 500").unionByName(again.select(*c.columns))).cache()
+    assert hnsw.graph_problems(grown).count() == 0 and sorted(r["id"] for r in hnsw.graph_ids(grown).collect()) == list(range(900))
+    assert sum(r["n_dead"] for r in hnsw.tombstones(grown).collect()) == 50
+    now = again.select("id", "vec").unionByName(c.where("id >= 50").select("id", "vec"))
+    queries = frame(spark, rng.uniform(-1, 1, (40, 12)).astype(np.float32), "query_id")
+    recall = lambda g, truth: metrics.recall(hnsw.search_graphs(queries, g, 10, ef=100), truth).agg(F.avg("recall")).first()[0]
+    assert recall(grown, search.knn_join(queries, now, 10, "l2")) >= 0.9
+    dead = hnsw.delete_from_graphs(grown, spark.range(0, 600))
+    assert hnsw.compact_graphs(dead, min_dead=10_000).where("dead").count() == dead.where("dead").count()
+    small = hnsw.compact_graphs(dead, min_dead=10).cache()
+    assert small.where("dead").count() == 0 and small.count() == 300 and hnsw.graph_problems(small).count() == 0
+    assert recall(small, search.knn_join(queries, now.where("id >= 600"), 10, "l2")) >= 0.9

@@ -79,3 +79,46 @@ def test_stream_keeps_a_store(spark, tmp_path):
     cols = ["tenant_id", "id", "vec_seq", "meta_seq", "vec"]
     assert rows(store.state().select(*cols)) == rows(whole.state().select(*cols))
     assert rows(lagging(log, spark.createDataFrame([("t", 1, 30)], "tenant_id string, shard int, applied_seq bigint"))) == [("t", 1, 30, 39)]
+
+
+def test_log_bytes_of_the_format():
+    """Fixed bytes: length counts the checksum and the payload."""
+    import struct
+    import zlib
+
+    def one(payload: str) -> bytes:
+        p = bytes.fromhex(payload)
+        return struct.pack("<II", 4 + len(p), zlib.crc32(p)) + p
+
+    data = one("0700000000000000 01 0200000000000000 02000000 0000803f 000000c0 00000000") + one("0800000000000000 03 0300000000000000 00000000 05000000 7b2261227d") + one("0900000000000000 02 ffffffffffffffff 00000000 00000000")
+    want = [(7, 1, 2, [1.0, -2.0], None), (8, 3, 3, None, '{"a"}'), (9, 2, 2**64 - 1, None, None)]
+    assert records.parse_log(data) == want and data[:4] == b"\x25\0\0\0"
+    assert b"".join(records.frame(s, o, i, v, (e or "").encode()) for s, o, i, v, e in want) == data
+    assert records.parse_log(data[:-1]) == want[:2]
+    assert records.parse_log(data + b"\0" * 30) == want  # a torn end
+    bad_op = one("0800000000000000 04 0300000000000000 00000000 00000000")
+    with pytest.raises(records.DamagedLog):
+        records.parse_log(bad_op + data)
+    assert records.parse_log(data + bad_op) == want
+    assert records.parse_log(data + b"x" + data[:37]) == want  # only older records after the damage
+
+
+def test_graph_snapshot_files(spark, tmp_path):
+    nodes = [(5, 1, False, [1.0, 2.0], [[2**63], [2**63]]), (2**63, 1, False, [0.0, -1.0], [[5, 7], [5]]), (7, 0, True, [3.0, 3.0], [[5]])]
+    for version in (b"1", b"2"):
+        data = records.snapshot_bytes(40, 2, "cosine", nodes, 5, 1, b"SNAPSHT" + version)
+        assert records.parse_snapshot(data, 2, "cosine") == (40, nodes)
+        for hurt in (data[:-5], data + b"\0", data[:9]):
+            with pytest.raises(ValueError):
+                records.parse_snapshot(hurt, 2, "cosine")
+        with pytest.raises(ValueError):
+            records.parse_snapshot(data, 3, "cosine")
+        (tmp_path / f"{version.decode()}.snap").write_bytes(data)
+    flipped = bytearray(data)
+    flipped[60] ^= 1
+    for hurt in (bytes(flipped), b"SNAPSHT9" + data[8:], records.snapshot_bytes(1, 2, "l2", nodes, 5, 1, b"SNAPSHT2")):
+        with pytest.raises(ValueError):
+            records.parse_snapshot(hurt, 2, "cosine")
+    assert records.parse_snapshot(b"", 2, "cosine") == (0, [])
+    df = records.read_graph_snapshot(spark, str(tmp_path), 2, "cosine")
+    assert df.count() == 6 and sorted(int(r["id"]) for r in df.where("snapshot_seq = 40 AND NOT deleted").collect()) == [5, 5, 2**63, 2**63]
