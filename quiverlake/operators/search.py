@@ -8,8 +8,9 @@ query; only these leave it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quiverlake.functions.distance import METRICS, distance
 from quiverlake.functions.filters import Clause, matches
+from quiverlake.session import written
 
 MAX_TOP_K = 1000
 MAX_EF = 10_000
@@ -218,6 +220,39 @@ def scatter_gather(queries: DataFrame, collection: DataFrame, k: int, metric: st
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+class ShardsFailed(RuntimeError):
+    """No shard could be searched; ``failed`` has the error of each."""
+
+    def __init__(self, failed: dict):
+        super().__init__("; ".join(f"shard {k}: {v}" for k, v in failed.items()))
+        self.failed = failed
+
+
+#: How often a shard is searched before it counts as failed.
+SEARCH_ATTEMPTS = 2
+
+
+def search_shards(queries: DataFrame, shards: Mapping[object, Callable[[], DataFrame]], k: int, metric: str) -> tuple[DataFrame, dict]:
+    """((query_id, rank, id, score), failed): the merged results of shards that are tables of their own,
+    each opened by a function, and the errors of those that could not be read after SEARCH_ATTEMPTS
+    attempts, whose results are missing. Without any shard left ShardsFailed is raised.
+    """
+    parts, failed = [], {}
+    for name, shard in shards.items():
+        for attempt in range(1, SEARCH_ATTEMPTS + 1):
+            try:
+                parts.append(written(knn_join(queries, shard(), k, metric).select("query_id", "id", "score"), "shard"))
+                break
+            except Exception as e:  # whatever a source may raise
+                if attempt == SEARCH_ATTEMPTS:
+                    failed[name] = e
+    if not parts:
+        raise ShardsFailed(failed)
+    once = reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy("score", "id")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score"), failed
+
+
 def top_k_per(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group; the limit is applied before the shuffle too."""
     w = Window.partitionBy(*by).orderBy(*order)

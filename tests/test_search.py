@@ -55,3 +55,20 @@ def test_many_queries_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(best.query) == 200_000 and peak < 400 << 20
+
+
+def test_failed_shards_are_reported(spark):
+    c = spark.range(20).select("id", F.array(F.col("id").cast("float")).alias("vec"))
+    q = spark.createDataFrame([(0, [3.2])], "query_id int, vec array<float>")
+    calls = []
+
+    def broken():
+        calls.append(1)
+        raise OSError("gone")
+
+    got, failed = search.search_shards(q, {0: lambda: c.where("id % 2 = 0"), 1: broken}, 2, "l2")
+    assert [r[2] for r in rows(got.select("query_id", "rank", "id"))] == [4, 2] and list(failed) == [1] and len(calls) == 2
+    whole, failed = search.search_shards(q, {i: (lambda i=i: c.where(f"id % 2 = {i}")) for i in (0, 1)}, 2, "l2")
+    assert [r[2] for r in rows(whole.select("query_id", "rank", "id"))] == [3, 4] and not failed
+    with pytest.raises(search.ShardsFailed):
+        search.search_shards(q, {1: broken}, 2, "l2")

@@ -122,3 +122,23 @@ def test_graph_snapshot_files(spark, tmp_path):
     assert records.parse_snapshot(b"", 2, "cosine") == (0, [])
     df = records.read_graph_snapshot(spark, str(tmp_path), 2, "cosine")
     assert df.count() == 6 and sorted(int(r["id"]) for r in df.where("snapshot_seq = 40 AND NOT deleted").collect()) == [5, 5, 2**63, 2**63]
+
+
+def test_strict_following_refuses_gaps(spark, tmp_path):
+    from quiverlake.streaming.oplog_stream import next_records
+
+    kind = "tenant_id string, shard int, seq bigint, op tinyint, id bigint, vec array<float>, extra string"
+    log = lambda *seqs: spark.createDataFrame([("a", 1, s, 1, s, [1.0], None) for s in seqs], kind)
+    done = spark.createDataFrame([("a", 1, 2)], "tenant_id string, shard int, seq bigint")
+    assert rows(next_records(log(1, 2, 3, 3, 4), done)) == [("a", 1, 4, None)] and rows(next_records(log(2, 4, 6), done)) == [("a", 1, 2, 3)] and rows(next_records(log(1), done)) == [("a", 1, 2, None)]
+    folder, store = str(tmp_path / "log"), ChangeRuns(spark, shared_dir(spark, "t-strict"), 2)
+    check = shared_dir(spark, "t-strict-check")
+    run = lambda: follow(read_log_stream(spark, folder, log(1).schema, 1), store, check, strict=True).awaitTermination()
+    log(2, 1).coalesce(1).write.mode("append").parquet(folder)
+    run()
+    log(2, 3).coalesce(1).write.mode("append").parquet(folder)
+    run()
+    log(5).coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="lacks record 4"):
+        run()
+    assert sorted(r["id"] for r in store.state().collect()) == [1, 2, 3]

@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from quiverlake.session import shared_dir
-from quiverlake.store import Store, StoreError
+from quiverlake.store import BatchTooLarge, RateLimited, Store, StoreError
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,68 @@ def test_texts_and_keys(store):
     assert not store.allowed(secret, "texts") and store.list_keys().count() == 1
     with pytest.raises(StoreError):
         store.revoke_key(key)
+
+
+def test_rates(spark):
+    now = [100.0]
+    s = Store(spark, shared_dir(spark, "t-rates"), 1, clock=lambda: now[0])
+    s.create_tenant("r", 1, "l2", max_qps=3.5)
+    with pytest.raises(BatchTooLarge):
+        s.batch_upsert([{"id": i, "values": [1], "tenant_id": "r"} for i in range(4)])
+    s.batch_upsert([{"id": i, "values": [1], "tenant_id": "r"} for i in range(2)])
+    s.search([1], 1, "r")
+    with pytest.raises(RateLimited):
+        s.get(1, "r")
+    now[0] += 1 / 3.5
+    s.get(1, "r")
+    with pytest.raises(RateLimited):
+        s.delete(1, "r")
+    s.set_quota("r", 0, 0)
+    s.list("r")
+    got = {(r["call"], r["code"]): r["n"] for r in s.request_metrics().where("tenant_id = 'r'").collect()}
+    assert got["batch_upsert", "BatchTooLarge"] == 1 and got["batch_upsert", "ok"] == 1 and got["get", "RateLimited"] == 1 and got["get", "ok"] == 1
+
+
+def test_indexed_search_sees_later_writes(spark, monkeypatch):
+    import numpy as np
+
+    from quiverlake.operators import planner
+
+    monkeypatch.setattr(planner.plan, "__defaults__", (20,))
+    s = Store(spark, shared_dir(spark, "t-index"), 2)
+    s.create_tenant("g", 4, "l2")
+    x = np.random.default_rng(2).normal(size=(120, 4)).round(3)
+    s.batch_upsert([{"id": i, "values": v.tolist(), "metadata": {"even": str(i % 2 == 0)}, "tenant_id": "g"} for i, v in enumerate(x)])
+    s.build_index("g", 50)
+    assert planner.plan(s.collection("g"), [], 5) == "graph"
+    want = np.argsort(((x - x[7]) ** 2).sum(1))
+    assert ids(s.search(x[7].tolist(), 5, "g", ef=100)) == want[:5].tolist()
+    s.insert(500, x[7].tolist(), tenant_id="g")
+    s.delete(int(want[1]), "g")
+    s.insert(7, (x[7] + 9).tolist(), tenant_id="g")
+    assert ids(s.search(x[7].tolist(), 4, "g", ef=100)) == [500, *want[2:5].tolist()]
+    assert all(int(r["id"]) % 2 == 0 for r in s.search(x[7].tolist(), 5, "g", filters={"even": "true"}).collect())
+
+
+def test_key_limits(store):
+    for call in (
+        lambda: store.create_key(["a"], name="n" * 129), lambda: store.create_key(["a"] * 257), lambda: store.create_key([""]), lambda: store.create_key(["x" * 257]),
+        lambda: store.create_key(["a"], ttl=datetime.timedelta(days=3651)), lambda: store.create_key(["a"], ttl=datetime.timedelta(0)), lambda: store.create_key(),
+    ):
+        with pytest.raises(StoreError):
+            call()
+    key, _ = store.create_key(admin=True, name="ops")
+    r = store.list_keys().where(f"key_id = '{key}'").first()
+    assert r["name"] == "ops" and r["tenants"] == ["*"]
+    store.revoke_key(key)
+
+
+def test_load():
+    from quiverlake.load import load_percentile, run_load
+
+    def bad():
+        raise ValueError
+
+    got = run_load([lambda: None, bad], 0.2, 2)
+    assert got["requests"] > 0 and got["errors"] > 0 and got["p50"] <= got["p99.9"]
+    assert load_percentile([3.0, 1.0, 2.0, 4.0], 0.5) == 2.0 and load_percentile([], 0.5) == 0.0
