@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,9 @@ from pyspark.sql import types as T
 MIN_WORDS = 10
 #: A document of which a larger part leaked is to be dropped as a whole.
 MAX_COVERAGE = 0.5
-#: Characters of item text in one automaton; more items are taken in several passes.
-MAX_ITEM_CHARS = 20_000_000
+#: Characters of item text in one automaton; more items are taken in several passes. An automaton has
+#: at most two states and three edges a word, some 250 bytes in all, so one of this size takes 150 MB.
+MAX_ITEM_CHARS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _FORMAT = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
@@ -58,54 +61,64 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
 
 
 class ItemAutomaton:
-    """Generalised suffix automaton over the words of items."""
+    """Generalised suffix automaton over the words of items.
+
+    States are numbers; links and lengths are arrays, and the edges of all states lie in one table
+    by state * width + word. While it is built, each state's own edges are kept, to be copied.
+    """
 
     def __init__(self, items: Iterable[tuple[int, list[str]]], min_words: int = MIN_WORDS):
         self.min_words = min_words
         self.number: dict[str, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
         sequences = [(i, [self.number.setdefault(w, len(self.number)) for w in ws]) for i, ws in items if len(ws) >= min_words]
+        self.width = len(self.number) + 1
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        outgoing: list[dict[int, int]] = [{}]
         for _, seq in sequences:
             last = 0
             for w in seq:
-                last = self._extend(last, w)
+                last = self._extend(outgoing, last, w)
+        self.edges = {}
+        for s, own in enumerate(outgoing):
+            at = s * self.width
+            for w, to in own.items():
+                self.edges[at + w] = to
+            outgoing[s] = None
         self._note_items(sequences)
 
-    def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
-        self.next.append(nxt)
+    def _state(self, outgoing: list, length: int, edges: dict[int, int], link: int) -> int:
+        outgoing.append(edges)
         self.length.append(length)
         self.link.append(link)
-        return len(self.link) - 1
+        return len(outgoing) - 1
 
-    def _split(self, p: int, w: int, q: int) -> int:
+    def _split(self, outgoing: list, p: int, w: int, q: int) -> int:
         """A copy of q for the shorter stretches that reach it from p and its suffixes."""
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        copy = self._state(outgoing, self.length[p] + 1, dict(outgoing[q]), self.link[q])
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = copy
+        while p >= 0 and outgoing[p].get(w) == q:
+            outgoing[p][w] = copy
             p = self.link[p]
         return copy
 
-    def _extend(self, last: int, w: int) -> int:
-        q = self.next[last].get(w)
+    def _extend(self, outgoing: list, last: int, w: int) -> int:
+        q = outgoing[last].get(w)
         if q is not None:  # an earlier item has the same stretch
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-        new = self._state(self.length[last] + 1, {}, 0)
+            return q if self.length[q] == self.length[last] + 1 else self._split(outgoing, last, w, q)
+        new = self._state(outgoing, self.length[last] + 1, {}, 0)
         p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = new
+        while p >= 0 and w not in outgoing[p]:
+            outgoing[p][w] = new
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][w]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
+            q = outgoing[p][w]
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(outgoing, p, w, q)
         return new
 
     def _note_items(self, sequences: list[tuple[int, list[int]]]) -> None:
         n = self.min_words
         #: The state of the last min_words words of a state's stretches, -1 if they are shorter.
-        self.short = [-1] * len(self.link)
+        self.short = array("i", [-1]) * len(self.link)
         for s in sorted(range(len(self.link)), key=self.length.__getitem__):
             if self.length[s] >= n:
                 up = self.link[s]
@@ -119,14 +132,14 @@ class ItemAutomaton:
 
     def _walk(self, seq: Iterable[int]) -> Iterator[tuple[int, int]]:
         """State and length of the longest known stretch after each word."""
-        nxt, link, length = self.next, self.link, self.length
+        edge, link, length, width = self.edges.get, self.link, self.length, self.width
         s = size = 0
         for w in seq:
-            to = nxt[s].get(w)
+            to = edge(s * width + w)
             while to is None and s:
                 s = link[s]
                 size = length[s]
-                to = nxt[s].get(w)
+                to = edge(s * width + w)
             if to is None:
                 size = 0
             else:
@@ -137,15 +150,15 @@ class ItemAutomaton:
     def leaked(self, ws: list[str]) -> set[int]:
         """Items of which the words hold min_words consecutive ones."""
         n, short = self.min_words, self.short
-        number = self.number.get
-        ends = {short[s] for s, size in self._walk([number(w, -1) for w in ws]) if size >= n}
+        number, unknown = self.number.get, self.width - 1
+        ends = {short[s] for s, size in self._walk([number(w, unknown) for w in ws]) if size >= n}
         return {i for s in ends for i in self.items[s]}
 
     def spans(self, ws: list[str]) -> list[tuple[int, int]]:
         """Stretches of words that leaked, joined where they touch, in order."""
-        number = self.number.get
+        number, unknown = self.number.get, self.width - 1
         out: list[list[int]] = []
-        for k, (_, size) in enumerate(self._walk([number(w, -1) for w in ws])):
+        for k, (_, size) in enumerate(self._walk([number(w, unknown) for w in ws])):
             if size >= self.min_words:
                 start = k + 1 - size
                 while out and out[-1][0] >= start:
@@ -157,17 +170,16 @@ class ItemAutomaton:
         return [(a, b) for a, b in out]
 
 
-def _automata(items: DataFrame, min_words: int, max_chars: int) -> list[ItemAutomaton]:
-    """One automaton, or several if the items exceed max_chars; each is collected by itself."""
+def _automata(items: DataFrame, min_words: int, max_chars: int) -> Iterator[ItemAutomaton]:
+    """One automaton, or several if the items exceed max_chars; each is collected and built by itself,
+    when its turn comes."""
     own = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), F.col("text"))
     chars = own.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     parts = max(1, -(-chars // max_chars))
-    out = []
     for k in range(parts):
         part = own if parts == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         rows = sorted((r[0], r[1]) for r in part.collect())
-        out.append(ItemAutomaton([(i, words(t)) for i, t in rows], min_words))
-    return out
+        yield ItemAutomaton([(i, words(t)) for i, t in rows], min_words)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
@@ -205,45 +217,71 @@ def without_leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     """(doc_id, n_words, n_leaked, dropped, clean_text), one row per document.
 
     Stretches that leaked are cut out of the text; a document of which more than max_coverage of
-    the words leaked is dropped (clean_text null). Other texts stay as they are.
+    the words leaked is dropped (clean_text null). Other texts stay as they are. Repeated documents
+    are cleaned alike. Items beyond max_item_chars take several passes over the corpus, whose
+    stretches are joined by document and text.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_automata(items, min_words, max_item_chars))
     fields = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_leaked", T.LongType())]
         + [T.StructField("dropped", T.BooleanType()), T.StructField("clean_text", T.StringType())]
     )
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("q_key"))
+    passes = [spark.sparkContext.broadcast(a) for a in _automata(items, min_words, max_item_chars)]
+
+    def found(shared) -> DataFrame:
+        """(q_key, q_spans) of the texts of which stretches leaked."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows, spans = [], []
+                for k, text in enumerate(b.column(1).to_pylist()):
+                    if text and shared.value.leaked(words(text)) and (own := shared.value.spans([w for w, _, _ in placed_words(text)])):
+                        rows.append(k)
+                        spans.append([x for pair in own for x in pair])
+                yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(rows, pa.int64())), pa.array(spans, pa.list_(pa.int32()))], names=["q_key", "q_spans"])
 
-    def clean(text: str | None) -> tuple[int, int, bool, str | None]:
-        ws = words(text)
-        if not any(a.leaked(ws) for a in shared.value):
-            return len(ws), 0, False, text
-        placed = placed_words(text)
-        ws = [w for w, _, _ in placed]
-        hit = bytearray(len(ws))
-        for a in shared.value:
-            for i, j in a.spans(ws):
-                hit[i:j] = b"\1" * (j - i)
-        n = sum(hit)
-        if n > max_coverage * len(ws):
-            return len(ws), n, True, None
-        kept, at, k = [], 0, 0
-        while k < len(ws):
-            if not hit[k]:
-                k += 1
-                continue
-            e = k
-            while e < len(ws) and hit[e]:
-                e += 1
-            kept.append(text[at : placed[k][1]])
-            at = placed[e - 1][2]
-            k = e
-        return len(ws), n, False, "".join([*kept, text[at:]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return own.mapInArrow(run, "q_key bigint, q_spans array<int>")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*map(clean, b.column(1).to_pylist()))) if b.num_rows else [[], [], [], []]
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+            spans = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
+            if b.num_columns < 4:  # a single pass, whose stretches are found here
+                a = passes[0].value
+                for k, text in enumerate(b.column(1).to_pylist()):
+                    if text and a.leaked(words(text)):
+                        spans[k] = [x for pair in a.spans([w for w, _, _ in placed_words(text)]) for x in pair]
+            cols = list(zip(*(_clean(t, s, max_coverage) for t, s in zip(b.column(1).to_pylist(), spans)))) if b.num_rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=fields.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    if len(passes) == 1:
+        return own.mapInArrow(cut, fields)
+    hits = reduce(DataFrame.unionByName, map(found, passes)).distinct().groupBy("q_key").agg(F.flatten(F.collect_list("q_spans")).alias("q_spans"))
+    return own.join(hits, "q_key", "left").select("doc_id", "text", "q_key", "q_spans").mapInArrow(cut, fields)
+
+
+def _clean(text: str | None, spans: list[int] | None, max_coverage: float) -> tuple[int, int, bool, str | None]:
+    """Words, leaked words, whether the text is dropped, and the text without its leaked stretches, of
+    which spans has the first words and the words after the last."""
+    if not spans:
+        return len(words(text)), 0, False, text
+    placed = placed_words(text)
+    hit = bytearray(len(placed))
+    for i, j in zip(spans[::2], spans[1::2]):
+        hit[i:j] = b"\1" * (j - i)
+    n = sum(hit)
+    if n > max_coverage * len(placed):
+        return len(placed), n, True, None
+    kept, at, k = [], 0, 0
+    while k < len(placed):
+        if not hit[k]:
+            k += 1
+            continue
+        e = k
+        while e < len(placed) and hit[e]:
+            e += 1
+        kept.append(text[at : placed[k][1]])
+        at = placed[e - 1][2]
+        k = e
+    return len(placed), n, False, "".join([*kept, text[at:]])

@@ -59,3 +59,5 @@ def test_tables(spark):
     assert clean[1]["n_leaked"] == 12 and not clean[1]["dropped"] and clean[1]["clean_text"] == "before  after and some more words that stay in this text for sure yes"
     assert clean[5]["dropped"] and clean[5]["clean_text"] is None
     assert clean[2]["clean_text"] == docs[1][1] and clean[3]["clean_text"] is None and clean[4]["clean_text"] == ""
+    parts = {r["doc_id"]: tuple(r) for r in without_leaks(d, items, max_item_chars=70).collect()}
+    assert parts == {k: tuple(r) for k, r in clean.items()} and without_leaks(d, items, max_item_chars=70).count() == len(docs)
