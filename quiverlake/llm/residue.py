@@ -10,10 +10,12 @@ placeholder, or if nearly all of its words stand in residue units.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +27,14 @@ from pyspark.sql import types as T
 from quiverlake.operators.sampling import hashed_sample
 
 #: Documents that training takes at most, and the longest of them in characters.
-MAX_TRAIN_DOCS = 20_000
+MAX_TRAIN_DOCS = 12_000
 MAX_TRAIN_CHARS = 20_000
 #: Part of the hosts that is held out for validation, in percent.
 HELD_OUT = 20
 #: log2 of the number of weights.
 BITS = 18
+#: Times that the words of filler text are looked for.
+GROWTH_STEPS = 4
 #: Part of a document's words that must stand in residue units.
 RESIDUE_SHARE = 0.7
 #: Score from which a unit holds a placeholder; below 0, as a missed one costs more than a false one.
@@ -76,10 +80,11 @@ FILLER_PHRASES = (
     "dies ist ein platzhalter|hier steht ihre uberschrift|mustertext fur die vorschau|hier folgt bald inhalt|bitte hier text eingeben|blindtext blindtext|"
     "tbd tbd|foo bar baz|blah blah blah|qwertz qwertz|qwerty qwerty|asdf jklo|asdf asdf|abc abc abc|text text text"
 ).split("|")
-#: Words of the printers' filler text in its usual and garbled forms.
+#: Fixed value: the printers' filler text in its common form. Garbled forms are for the model to learn.
 LATIN = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua aliquem consec dolent donet eget fuscit integrim "
-    "laoret massa mergat nam nunc ornat pellum portim quis sem tarnet tellit vel vellum viverit"
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation "
+    "ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint "
+    "occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum"
 ).split()
 #: Markup tags, which are no placeholders.
 TAGS = "a b i p s u br em hr li ol td th tr ul img pre div code head html span table strong style script noscript h1 h2 h3 h4 h5 h6".split()
@@ -111,16 +116,17 @@ _TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*|[^\w\s]|_+|\s+")
 _FORMAT = re.compile(r"[­​-‏‪-‮⁠-⁤﻿]")
 _LETTERS = re.compile(r"[^\W\d_]+|0")
 _DIGITS = re.compile(r"\d+")
+_COMBINING = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20F1) if unicodedata.combining(chr(c))) + "]")
 _REFERENCE = re.compile(r"^(?:reference|ref)\b")
 _FIELD = re.compile(r"[A-Za-z_]")
 #: Symbols that start or end a span of which the shape is taken.
 _MARKS = frozenset("{}[]<>$%#@~*|&;_=?!")
+_MARK = re.compile("[" + re.escape("".join(sorted(_MARKS))) + "]")
 
 
 def normal(text: str) -> str:
     """Letter case, accents and digits' values removed, other symbols as one blank."""
-    t = unicodedata.normalize("NFKD", text.casefold())
-    t = "".join(c for c in t if not unicodedata.combining(c))
+    t = text.lower() if text.isascii() else _COMBINING.sub("", unicodedata.normalize("NFKD", text.casefold()))
     return " ".join(_LETTERS.findall(_DIGITS.sub("0", t)))
 
 
@@ -129,7 +135,13 @@ def units(text: str) -> list[str]:
     return [u for u in (x.strip() for x in _UNIT.split(_FORMAT.sub("", _TAG.sub(" ", text)))) if u]
 
 
-_PHRASES = re.compile(r"\b(?:" + "|".join([*ERROR_PHRASES, *FILLER_PHRASES, *NOTICE_PATTERNS]) + r")\b")
+def _alternatives(phrases: Iterable[str]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(phrases) + r")\b")
+
+
+_PHRASES = _alternatives([*ERROR_PHRASES, *FILLER_PHRASES, *NOTICE_PATTERNS])
+_LATIN = frozenset(w for w in LATIN if len(w) > 3)
+_OPENING = frozenset(LATIN[:2])
 
 
 def repeats(ws: list[str]) -> float:
@@ -137,16 +149,32 @@ def repeats(ws: list[str]) -> float:
     return len(ws) / max(1, len(set(ws)))
 
 
-def weak_labels(unit: str) -> tuple[bool, bool]:
-    """(holds a placeholder, is residue) by pattern, phrase and status line."""
-    t = normal(unit)
-    ws = t.split()
-    latin = sum(w in _LATIN for w in ws)
-    filler = not ws and len(unit) >= 7 or len(ws) >= 4 and repeats(ws) >= 3 or latin >= 4 and latin >= 0.7 * len(ws)
-    return bool(PLACEHOLDER.search(unit)), bool(filler or STATUS.match(t) or (len(ws) <= 12 and _REFERENCE.match(t)) or _PHRASES.search(t))
+def _mostly(ws: list[str], known: Collection[str], share: float) -> bool:
+    return (n := sum(w in known for w in ws)) >= 3 and n >= share * len(ws)
+
 
+def filler_words(samples: list[list[str]]) -> frozenset[str]:
+    """The words of filler text in a corpus: those of LATIN, and by steps those that stand in filler
+    in most of their units. samples: the words of each unit. At first a unit with one of the two
+    opening words of LATIN is filler, then one of which most words are known to be filler."""
+    known: Collection[str] = _LATIN
+    for step in range(GROWTH_STEPS):
+        seen: Counter = Counter()
+        inside: Counter = Counter()
+        for ws in samples:
+            (inside if (_mostly(ws, known, 0.5) if step else not _OPENING.isdisjoint(ws)) else seen).update(set(ws))
+        least = 0.6 if step else 0.4  # not all filler has an opening word
+        known = _LATIN | {w for w, n in inside.items() if n >= 3 and n >= least * (n + seen[w])}
+    return frozenset(known)
 
-_LATIN = frozenset(LATIN)
+
+def weak_labels(unit: str, phrases: re.Pattern = _PHRASES, filler_words: Collection[str] = _LATIN, t: str | None = None) -> tuple[bool, bool]:
+    """(holds a placeholder, is residue) by pattern, phrase and status line. t: the unit in normal
+    form, if at hand."""
+    t = normal(unit) if t is None else t
+    ws = t.split()
+    filler = not ws and len(unit) >= 7 or len(ws) >= 4 and repeats(ws) >= 3 or _mostly(ws, filler_words, 0.6)
+    return bool(PLACEHOLDER.search(unit)), bool(filler or STATUS.match(t) or (len(ws) <= 12 and _REFERENCE.match(t)) or phrases.search(t))
 
 
 def _shape(token: str) -> str:
@@ -167,12 +195,17 @@ def _shape(token: str) -> str:
 _KNOWN = frozenset("insert here your todo votre ici einsetzen object php echo if upper lt gt s d".split()) | frozenset(t for t in TAGS if len(t) > 1)
 
 
-def features(unit: str, place: int, n_units: int) -> tuple[list[int], list[int], list[int]]:
+@functools.lru_cache(1 << 16)
+def _hashed(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
+def features(unit: str, place: int, n_units: int, t: str | None = None) -> tuple[list[int], list[int], list[int]]:
     """Hashed features of a unit: for the placeholder model, and for the residue model those of
     its wording and those of its length and place."""
     mask = (1 << BITS) - 1
-    tokens = _TOKEN.findall(unit)
-    shapes = [_shape(t) for t in tokens]
+    # Spans start at symbols: a unit without one has none, whatever its words are.
+    shapes = [_shape(t) for t in _TOKEN.findall(unit)] if _MARK.search(unit) else []
     holes = set()
     for i, s in enumerate(shapes):
         if s in _MARKS or s[0] in "_@":
@@ -180,20 +213,18 @@ def features(unit: str, place: int, n_units: int) -> tuple[list[int], list[int],
             for j in range(i + 1, min(i + 13, len(shapes))):
                 if j == i + 1 or shapes[j] in _MARKS or shapes[j][0] == "_":
                     holes.add(zlib.crc32("\x01".join(shapes[i : j + 1]).encode("utf-8", "surrogatepass")) & mask)
-    ws = normal(unit).split()
-    says = set()
-    for n in (1, 2):
-        for i in range(len(ws) - n + 1):
-            says.add(zlib.crc32(" ".join(ws[i : i + n]).encode()) & mask)
+    ws = (normal(unit) if t is None else t).split()
+    says = {_hashed(w) for w in ws}
+    says.update(zlib.crc32(f"{a} {b}".encode()) & mask for a, b in zip(ws, ws[1:]))
     outer = [f"len{min(9, len(ws).bit_length())}"]
-    extra = [f"rep{min(6, int(repeats(ws)))}", f"latin{sum(w in _LATIN for w in ws) * 3 // max(1, len(ws))}"]
+    extra = [f"rep{min(6, int(repeats(ws)))}"]
     if place == 0:
         outer.append("title" if unit[-1:] not in ".!?" else "first")
         outer.append("only" if n_units == 1 else "more")
     if not ws:
         extra.append("symbols" + str(min(3, len(unit) // 4)))
-    says.update(zlib.crc32(f"\x02{x}".encode()) & mask for x in extra)
-    return list(holes), list(says), [zlib.crc32(f"\x02{x}".encode()) & mask for x in outer]
+    says.update(_hashed(f"\x02{x}") for x in extra)
+    return list(holes), list(says), [_hashed(f"\x02{x}") for x in outer]
 
 
 @dataclass
@@ -206,6 +237,12 @@ class Model:
     say_bias: float
     held_out: dict[str, float]
 
+    def residue(self, features: tuple[list[int], list[int]]) -> bool:
+        """Whether a unit is residue by the features of its wording and of its length and place; the
+        latter alone say nothing."""
+        wording = float(self.says[features[0]].sum())
+        return wording > 0 and wording + float(self.says[features[1]].sum()) + self.say_bias > 0
+
     def judge(self, text: str | None) -> tuple[float, float]:
         """(largest placeholder score of a unit, part of the words in residue units)."""
         if not text or not text.strip():
@@ -218,8 +255,7 @@ class Model:
                 most = max(most, float(self.holes[h].sum()) + self.hole_bias)
             n = max(1, len(u.split()))
             total += n
-            wording = float(self.says[s].sum())
-            if wording > 0 and wording + float(self.says[o].sum()) + self.say_bias > 0:  # length and place alone say nothing
+            if self.residue((s, o)):
                 inside += n
         return most, inside / max(1, total)
 
@@ -252,12 +288,12 @@ def _fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 8, l2: float =
     return w.astype(np.float32), float(bias)
 
 
-def _seed_units() -> list[str]:
+def _seed_units(phrases: re.Pattern) -> list[str]:
     """The phrases of the weak labels as units of their own, so that a small corpus trains too."""
     script = ["Please enable {}.", "{} is disabled in your browser.", "This page needs {}.", "Ce site ne fonctionne pas sans {}.", "Active {} para ver esta página.", "Este sitio necesita {} para funcionar.", "Bitte aktivieren Sie {}, um diese Seite anzuzeigen.", "Diese Seite funktioniert nur mit {}.", "Veuillez activer {} pour afficher cette page.", "{} est désactivé dans votre navigateur.", "{} está desactivado en su navegador.", "{} ist in Ihrem Browser ausgeschaltet."]
-    said = [p + "." for p in [*ERROR_PHRASES, *FILLER_PHRASES]] + [s.format(x) for s in script for x in ("JavaScript", "scripts", "scripting", "JS")]
+    said = [p + "." for p in [*ERROR_PHRASES, *FILLER_PHRASES] if phrases.search(p)] + [s.format(x) for s in script for x in ("JavaScript", "scripts", "scripting", "JS")]
     said += [f"{c} – {r}" for c in (403, 404, 500, 502, 503) for r in ("Forbidden", "Not Found", "Page not found", "Gateway Timeout", "Service Temporarily Unavailable")]
-    said += [" ".join([w] * n) for w in ("abc", "text", "xxx", "blah", "......", "---") for n in (4, 8, 16)] + [" ".join(LATIN[i : i + n]).capitalize() + "." for n in (6, 9) for i in range(len(LATIN) - n)]
+    said += [" ".join([w] * n) for w in ("abc", "text", "xxx", "blah", "......", "---") for n in (4, 8, 16)] + [" ".join(LATIN[i : i + n]).capitalize() + "." for n in (6, 9) for i in range(0, len(LATIN) - n, 2)]
     fields = ["first_name", "Price", "CITY", "orderId", "x"]
     holes = ["{{%s}}", "{{ %s }}", "{{{%s}}}", "{{ user.%s | upper }}", "${%s}", "${{%s}}", "#{%s}", "{%s}", "{!%s}", "{# %s #}", "{%% if %s %%}", "<%%= %s %%>", "<?php echo $%s; ?>", "<%s>", "<<%s>>", "&lt;%s&gt;", "[[%s]]", "%%(%s)s", "[Your %s]", "[INSERT %s HERE]", "[TODO: %s]", "[votre %s ici]", "[%s einsetzen]"]
     caps = ["%%%s%%", "$%s", "$%s$", "__%s__", "@@%s@@", "*|%s|*", "~%s~"]
@@ -266,25 +302,28 @@ def _seed_units() -> list[str]:
     return said + [f"Dear {x}, the wheel warms the shelf." for x in filled] + plain * 5
 
 
-def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
+def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, phrases: re.Pattern = _PHRASES) -> Model:
     """Fit both regressions on a bounded sample: the max_docs documents of at most MAX_TRAIN_CHARS
     characters with the smallest hashes. Hosts (source) whose hash falls below HELD_OUT percent
     only validate."""
     own = docs.where(F.length(F.trim("text")).between(1, MAX_TRAIN_CHARS)).select("text", F.coalesce(F.col("source"), F.lit("")).alias("source"), "doc_id")
     sample = hashed_sample(own, max_docs).collect()
     holes, says, yh, ys, out = [], [], [], [], []
-    seeds = _seed_units()
+    seeds = _seed_units(phrases)
+    cut = []  # (unit, normal form, place, number of units, held out)
     for text, source in [(s, None) for s in seeds] + [(r[0], r[1]) for r in sample]:
         us = [text] if source is None else units(text)
         held = source is not None and zlib.crc32(source.encode()) % 100 < HELD_OUT
-        for k, u in enumerate(us):
-            h, s, o = features(u, k, len(us))
-            a, b = weak_labels(u)
-            holes.append(h)
-            says.append(s + o)
-            yh.append(a)
-            ys.append(b)
-            out.append(held)
+        cut += [(u, normal(u), k, len(us), held) for k, u in enumerate(us)]
+    latin = filler_words([ws for _, t, _, _, _ in cut if len(ws := t.split()) >= 3])
+    for u, t, k, n, held in cut:
+        h, s, o = features(u, k, n, t)
+        a, b = weak_labels(u, phrases, latin, t)
+        holes.append(h)
+        says.append(s + o)
+        yh.append(a)
+        ys.append(b)
+        out.append(held)
     held, yh, ys = np.array(out), np.array(yh, np.float64), np.array(ys, np.float64)
     fit, test = np.flatnonzero(~held), np.flatnonzero(held)
     wh, bh = _fit([holes[i] for i in fit], yh[fit])
@@ -297,6 +336,25 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     return Model(wh, bh, ws, bs, scores)
 
 
+def unseen_phrases(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, fold: int = 5) -> dict[str, float]:
+    """How well residue is found whose wording no label names: the phrases with numbers divisible by
+    fold are left out of the labels (the seeds included), and units that only they name, of all hosts,
+    are judged: their number and the part found."""
+    every = [*ERROR_PHRASES, *FILLER_PHRASES, *NOTICE_PATTERNS]
+    hidden, kept = _alternatives(every[::fold]), _alternatives([p for i, p in enumerate(every) if i % fold])
+    model = train(docs, max_docs, kept)
+    own = docs.where(F.length(F.trim("text")).between(1, MAX_TRAIN_CHARS)).select("text", F.coalesce(F.col("source"), F.lit("")).alias("source"), "doc_id")
+    n = found = 0
+    for text, _, _ in hashed_sample(own, max_docs).collect():
+        us = units(text)
+        for k, u in enumerate(us):
+            t = normal(u)
+            if hidden.search(t) and not weak_labels(u, kept, t=t)[1]:
+                n += 1
+                found += model.residue(features(u, k, len(us), t)[1:])
+    return {"unseen_phrase_units": float(n), "unseen_phrase_recall": found / max(1, n)}
+
+
 def judge_residue(docs: DataFrame, model: Model, residue_share: float = RESIDUE_SHARE) -> DataFrame:
     """(doc_id, placeholder, residue) of each row, both as flags.
 
