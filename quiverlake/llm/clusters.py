@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiverlake.llm.vectors import current_vectors, list_array, matrices, matrix, unit, written
+from quiverlake.functions.distance import cosine_distance
+from quiverlake.llm.vectors import current_vectors, list_array, matrices, matrix, partitions_of, sized, unit, written
 
 #: Cosine distance up to which two vectors are near.
 LIMIT = 0.55
@@ -214,38 +215,33 @@ def _compact(edges: list[tuple[int, int, bool]], same: bool) -> list[tuple[int,
     return [e for e in edges if top(name(e[0], e[1])[0]) not in bad or same and e[0] == e[1]] + [(i, j, False) for i, j, _ in kept if top(name(i, j)[0]) in bad]
 
 
-def clusters_of(leaves: np.ndarray, sizes: np.ndarray, edges: list[tuple[int, int, bool]]) -> dict[int, int]:
-    """Leaf to cluster number. leaves and sizes: the leaves of three or more rows, which may have
-    no edge; edges: (leaf, leaf, all near, size, size), of a leaf with itself if its own rows are not
-    all near. A component of leaves is a cluster if all
-    pairs of its leaves are joined by edges whose rows are all near, and it has three rows."""
-    up = {int(i): int(i) for i in leaves}
-    size = {int(i): int(n) for i, n in zip(leaves, sizes)}
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    full: dict[int, int] = {}
-    broken: set[int] = set()
-    for i, j, _, ni, nj in edges:
-        up.setdefault(i, i)
-        up.setdefault(j, j)
-        size[i], size[j] = ni, nj
-        a, b = top(i), top(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    for i, _, every, _, _ in edges:
-        if every:
-            full[top(i)] = full.get(top(i), 0) + 1
-        else:
-            broken.add(top(i))
-    members: dict[int, list[int]] = {}
-    for i in up:
-        members.setdefault(top(i), []).append(i)
-    return {i: c for c, m in members.items() for i in m if c not in broken and full.get(c, 0) == len(m) * (len(m) - 1) // 2 and sum(size[k] for k in m) >= 3}
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest vertex of the component of each of n vertices, given edges a-b."""
+    top = np.arange(n)
+    while True:
+        low = np.minimum(top[a], top[b])
+        new = top.copy()
+        np.minimum.at(new, top[a], low)
+        np.minimum.at(new, top[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == top).all():
+            return top
+        top = new
+
+
+def clusters_of(size: np.ndarray, a: np.ndarray, b: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Cluster number of each leaf, -1 without one. size: rows of each leaf; a-b: edges of leaves of
+    which some rows are near, ``every``: whether all are; of a leaf with itself if its own rows are
+    not all near. A component of leaves is a cluster if all pairs of its leaves are joined by edges
+    whose rows are all near, and it has three rows."""
+    n = len(size)
+    top = components(n, a, b)
+    members, rows = np.bincount(top, minlength=n), np.bincount(top, size, minlength=n)
+    full = np.bincount(top[a[every]], minlength=n)
+    broken = np.bincount(top[a[~every]], minlength=n) > 0
+    good = ~broken & (rows >= 3) & (full == members * (members - 1) // 2)
+    return np.where(good[top], top, -1)
 
 
 def _trees(rows: DataFrame, node_rows: int) -> dict[str, list[tuple[int, int, np.ndarray, np.ndarray]]]:
@@ -312,21 +308,21 @@ def _with_nodes(rows: DataFrame, node_rows: int) -> DataFrame:
 
 # Kinds of rows that a node's task gives: a member, a leaf of three or more rows, an edge of leaves.
 _MEMBER, _LEAF, _EDGE = 0, 1, 2
-_STEP = "tenant_id string, kind int, node int, leaf int, node2 int, leaf2 int, size int, size2 int, every boolean, id bigint, to_centre float"
+_STEP = "tenant_id string, kind int, node int, leaf int, node2 int, leaf2 int, size int, size2 int, every boolean, id bigint"
 
 
 def _step_table(tenant: str, kind: int, **columns) -> pa.Table:
     n = len(next(iter(columns.values())))
-    types = {"node": pa.int32(), "leaf": pa.int32(), "node2": pa.int32(), "leaf2": pa.int32(), "size": pa.int32(), "size2": pa.int32(), "every": pa.bool_(), "id": pa.int64(), "to_centre": pa.float32()}
+    types = {"node": pa.int32(), "leaf": pa.int32(), "node2": pa.int32(), "leaf2": pa.int32(), "size": pa.int32(), "size2": pa.int32(), "every": pa.bool_(), "id": pa.int64()}
     data = {c: pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()}
     return pa.table({"tenant_id": pa.array([tenant] * n, pa.string()), "kind": pa.array([kind] * n, pa.int32()), **data})
 
 
-def mutual_clusters(vectors: DataFrame, tenants: DataFrame, limit: float = LIMIT, node_rows: int = NODE_ROWS) -> DataFrame:
-    """(tenant_id, head_id, id, size, to_centre): the members of every cluster, a set of at least
-    three ids of one tenant whose current vectors are all within cosine distance ``limit`` of each
-    other and of none outside the set. head_id is the cluster's smallest id, size its number of
-    members, to_centre a member's cosine distance to the centre of its leaf.
+def mutual_clusters(vectors: DataFrame, tenants: DataFrame, limit: float = LIMIT, node_rows: int = NODE_ROWS, with_vec: bool = False) -> DataFrame:
+    """(tenant_id, head_id, id, size): the members of every cluster, a set of at least three ids of
+    one tenant whose current vectors are all within cosine distance ``limit`` of each other and of
+    none outside the set. head_id is the cluster's smallest id, size its number of members.
+    with_vec: also dim and vec.
 
     Unusable vectors and null ids have no part, repeated rows count once, empty tables give no
     rows. Needs limit <= 1.
@@ -339,20 +335,20 @@ def mutual_clusters(vectors: DataFrame, tenants: DataFrame, limit: float = LIMIT
         x = unit(matrix(t.column("vec"), t.column("dim")[0].as_py()))
         leaf, centres = bisect(x, least)
         sizes = np.bincount(leaf, minlength=len(centres))
-        at = np.einsum("ij,ij->i", x, np.array(centres)[leaf])
         big = np.flatnonzero(sizes >= 3)
         edges = _edges(x, leaf, centres, x, leaf, centres, least, True)
         i, j = [e[0] for e in edges], [e[1] for e in edges]
         return pa.concat_tables(
             [
-                _step_table(tenant, _MEMBER, node=np.full(len(x), node), leaf=leaf, id=t.column("id").to_numpy(), to_centre=1 - at),
+                _step_table(tenant, _MEMBER, node=np.full(len(x), node), leaf=leaf, id=t.column("id").to_numpy()),
                 _step_table(tenant, _LEAF, node=np.full(len(big), node), leaf=big, size=sizes[big]),
                 _step_table(tenant, _EDGE, node=[node] * len(i), leaf=i, node2=[node] * len(i), leaf2=j, size=sizes[i] if i else [], size2=sizes[j] if j else [], every=[e[2] for e in edges]),
             ]
         )
 
     # Rows come in order of id, so that a repeated run gives the same leaves.
-    steps = written(rows.groupBy("tenant_id", "node").applyInArrow(_by_id(node_step), _STEP), "clusters-leaves")
+    n = partitions_of(vectors)
+    steps = written(sized(rows, n, "tenant_id", "node").groupBy("tenant_id", "node").applyInArrow(_by_id(node_step), _STEP), "clusters-leaves")
     split = steps.where(F.col("kind") == _MEMBER).groupBy("tenant_id", "node").agg(F.count(F.lit(1)).alias("n"))
     facts = steps.where(F.col("kind") != _MEMBER)
     nodes = split.groupBy("tenant_id").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
@@ -385,24 +381,23 @@ def mutual_clusters(vectors: DataFrame, tenants: DataFrame, limit: float = LIMIT
         facts = facts.unionByName(pairs.applyInArrow(node_pair, _STEP))
 
     def join_leaves(key: tuple, t: pa.Table) -> pa.Table:
-        name = {}
-        cols = {c: t.column(c).to_pylist() for c in ("kind", "node", "leaf", "node2", "leaf2", "size", "size2", "every")}
-        leaves, sizes, edges = [], [], []
-        for kind, n, k, n2, k2, s, s2, every in zip(*cols.values()):
-            i = name.setdefault((n, k), len(name))
-            if kind == _LEAF:
-                leaves.append(i)
-                sizes.append(s)
-            else:
-                edges.append((i, name.setdefault((n2, k2), len(name)), every, s, s2))
-        found = clusters_of(np.array(leaves, np.int64), np.array(sizes, np.int64), edges)
-        place = {i: k for k, i in name.items()}
-        return pa.table({"tenant_id": pa.array([key[0].as_py()] * len(found), pa.string()), "node": pa.array([place[i][0] for i in found], pa.int32()), "leaf": pa.array([place[i][1] for i in found], pa.int32()), "cluster": pa.array(list(found.values()), pa.int32())})
+        # A row for each leaf of three or more rows and each edge kept (see _compact), as numbers.
+        c = {k: t.column(k).fill_null(0).to_numpy() for k in ("kind", "node", "leaf", "node2", "leaf2", "size", "size2")}
+        every = t.column("every").fill_null(False).to_numpy()
+        edge = c["kind"] == _EDGE
+        one, two = (c[n].astype(np.int64) << 32 | c[k] for n, k in (("node", "leaf"), ("node2", "leaf2")))
+        names, place = np.unique(np.concatenate([one, two[edge]]), return_inverse=True)
+        size = np.zeros(len(names), np.int64)
+        size[place] = np.concatenate([c["size"], c["size2"][edge]])
+        cluster = clusters_of(size, place[: len(one)][edge], place[len(one) :], every[edge])
+        found = np.flatnonzero(cluster >= 0)
+        return pa.table({"tenant_id": pa.array([key[0].as_py()] * len(found), pa.string()), "node": (names[found] >> 32).astype(np.int32), "leaf": (names[found] & 0xFFFFFFFF).astype(np.int32), "cluster": cluster[found].astype(np.int32)})
 
     joined = facts.groupBy("tenant_id").applyInArrow(join_leaves, "tenant_id string, node int, leaf int, cluster int")
-    members = steps.where(F.col("kind") == _MEMBER).select("tenant_id", "node", "leaf", "id", "to_centre").join(joined, ["tenant_id", "node", "leaf"])
+    members = steps.where(F.col("kind") == _MEMBER).select("tenant_id", "node", "leaf", "id").join(joined, ["tenant_id", "node", "leaf"])
     heads = members.groupBy("tenant_id", "cluster").agg(F.min("id").alias("head_id"), F.count(F.lit(1)).alias("size"))
-    return members.join(heads, ["tenant_id", "cluster"]).select("tenant_id", "head_id", "id", "size", "to_centre")
+    out = members.join(heads, ["tenant_id", "cluster"]).select("tenant_id", "head_id", "id", "size")
+    return out.join(rows.select("tenant_id", "id", "dim", "vec"), ["tenant_id", "id"]) if with_vec else out
 
 
 def _by_id(step):
@@ -414,11 +409,53 @@ def _by_id(step):
     return run
 
 
+#: Clusters of which a task keeps the sums at once.
+_HELD_SUMS = 4096
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """(tenant_id, head_id, centre): the sum of the unit vectors of each cluster's members, first in
+    each task, so that a cluster of any size shuffles one sum a task."""
+    kind = "tenant_id string, head_id bigint, s array<double>"
+
+    def table(held: dict) -> pa.RecordBatch:
+        sums = [v.tolist() for v in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in held], pa.string()), pa.array([h for _, h in held], pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["tenant_id", "head_id", "s"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            tenant, head = b.column("tenant_id").to_pylist(), b.column("head_id").to_pylist()
+            for _, at, x in matrices(b):
+                w = x.astype(np.float64)
+                w /= np.sqrt(np.einsum("ij,ij->i", w, w))[:, None]
+                own: dict[tuple, int] = {}
+                place = np.array([own.setdefault((tenant[i], head[i]), len(own)) for i in at])
+                sums = np.zeros((len(own), w.shape[1]))
+                np.add.at(sums, place, w)
+                for key, v in zip(own, sums):
+                    held[key] = held[key] + v if key in held else v
+            if len(held) > _HELD_SUMS:
+                yield table(held)
+                held.clear()
+        yield table(held)
+
+    def total(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.table({"tenant_id": pa.array([key[0].as_py()], pa.string()), "head_id": pa.array([key[1].as_py()], pa.int64()), "s": pa.array([np.array(t.column("s").to_pylist()).sum(0).tolist()], pa.list_(pa.float64()))})
+
+    parts = members.select("tenant_id", "head_id", "dim", "vec").mapInArrow(partial, kind)
+    return parts.groupBy("tenant_id", "head_id").applyInArrow(total, kind).select(F.col("tenant_id").alias("q_tenant"), F.col("head_id").alias("q_head"), F.col("s").alias("centre"))
+
+
 def cluster_descriptions(members: DataFrame, typical: int = 5) -> DataFrame:
-    """(tenant_id, head_id, size, typical_ids): each cluster with the ids of its ``typical``
-    members nearest to the centre, nearest first, ties by id."""
-    order = F.struct("to_centre", "id")
+    """(tenant_id, head_id, size, typical_ids): each cluster with the ids of its ``typical`` members
+    nearest to its centre, the mean of its members' unit vectors, nearest first (distances to nine
+    digits), ties by id. members: as from mutual_clusters with_vec."""
+    members = written(members, "clusters-members")
+    centres = _centres(members)
+    far = F.round(cosine_distance("vec", "centre"), 9)
+    placed = members.join(centres, (F.col("tenant_id") == F.col("q_tenant")) & (F.col("head_id") == F.col("q_head"))).select("tenant_id", "head_id", "id", "size", far.alias("q_far"))
     # The rank limit is applied before the shuffle too: each task sends ``typical`` rows a cluster.
-    w = Window.partitionBy("tenant_id", "head_id").orderBy("to_centre", "id")
-    top = members.withColumn("q_rank", F.row_number().over(w)).where(F.col("q_rank") <= typical)
-    return top.groupBy("tenant_id", "head_id").agg(F.first("size").alias("size"), F.transform(F.array_sort(F.collect_list(order)), lambda e: e["id"]).alias("typical_ids"))
+    w = Window.partitionBy("tenant_id", "head_id").orderBy("q_far", "id")
+    top = placed.withColumn("q_rank", F.row_number().over(w)).where(F.col("q_rank") <= typical)
+    return top.groupBy("tenant_id", "head_id").agg(F.first("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("q_far", "id"))), lambda e: e["id"]).alias("typical_ids"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiverlake.llm.vectors import current_vectors, latest, matrices, matrix, unit, usable_rows, written
+from quiverlake.llm.vectors import current_vectors, latest, matrices, matrix, partitions_of, sized, unit, usable_rows, written
 from quiverlake.operators.sampling import hashed_sample
 
 #: Rows of the sample from which each dim's rotations are learned.
@@ -471,7 +471,8 @@ def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, bloc
     shared = rows.sparkSession.sparkContext.broadcast(rotations)
     # Blocks come before the choice of the latest row, so that rows meet Python once.
     placed = _blocked(rows.join(_splits(rows, block_rows), "tenant_id"), rotations, F.lit(margin**2), True)
-    placed = latest(placed).select("tenant_id", F.explode("blocks").alias("block"), "dim", "id", "vec")
+    n = partitions_of(vectors)
+    placed = latest(placed, n).select("tenant_id", F.explode("blocks").alias("block"), "dim", "id", "vec")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         dim = t.column("dim")[0].as_py()
@@ -481,7 +482,7 @@ def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, bloc
         hit = np.flatnonzero(np.isfinite(best))
         return pa.table({"tenant_id": t.column("tenant_id").take(pa.array(hit)), "id": ids[hit], "near_id": who[hit], "distance": best[hit]})
 
-    found = placed.groupBy("tenant_id", "block").applyInArrow(run, _PAIR)
+    found = sized(placed, n, "tenant_id", "block").groupBy("tenant_id", "block").applyInArrow(run, _PAIR)
     nearest = found.groupBy("tenant_id", "id").agg(F.min(F.struct("distance", "near_id")).alias("m"))
     return nearest.select("tenant_id", "id", F.col("m.near_id").alias("near_id"), F.col("m.distance").alias("distance"))
 

@@ -3,12 +3,13 @@
 Each task summarises its rows of a tenant in cluster features (count, linear sum, square sum),
 which are additive; a feature takes a row if its radius stays within a threshold, and the
 threshold rises when there are too many features; joining leaves half as many as there may be at
-least, so that tight groups keep several. The summaries of all tasks are merged in two
-levels, first by salt and then by tenant, into at most MAX_ENTRIES features, so that a tenant
-with most of the rows is no burden. Ward linkage joins the features until the wanted number of
+least, so that tight groups keep several. The summaries of all tasks are merged by levels, FAN_IN
+of a tenant at a time, into at most MAX_ENTRIES features, so that a tenant with most of the rows is
+no burden, however many tasks there are. As each task summarises the rows it reads, another layout
+of the table may give another, equally good subset. Ward linkage joins the features until the wanted number of
 groups is left, and the record nearest each group's centre is taken, whatever the group's size.
 Where groups are left without a record, or a tenant's features are fewer than the groups wanted,
-the records farthest from those taken fill up (each task, salt and tenant again).
+the records farthest from those taken fill up (by the same levels).
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ META_DIMS = 16
 META_WEIGHT = 0.5
 #: Branches of a tree node.
 BRANCHES = 16
-SALTS = 32
+#: Summaries that one task merges.
+FAN_IN = 32
 #: Bytes of group centres sent to the executors at once; more are taken in several passes.
 MAX_CENTRE_BYTES = 32 << 20
 #: Records of a tenant from which a task picks far ones at once.
@@ -194,7 +196,7 @@ def _summaries(rows: DataFrame) -> DataFrame:
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, FeatureTree] = {}
-        salt = TaskContext.get().partitionId() % SALTS
+        salt = TaskContext.get().partitionId()
         for b in batches:
             tenant = np.array(b.column("tenant_id").to_pylist(), object)
             meta = b.column("metadata").to_pylist()
@@ -218,7 +220,16 @@ def _summaries(rows: DataFrame) -> DataFrame:
         return _features(key[0].as_py(), 0, _merged(t))
 
     once = rows.select("tenant_id", "id", "dim", "vec", "metadata").mapInArrow(summarise, _CF)
-    return once.groupBy("tenant_id", "salt").applyInArrow(merge_salt, _CF).groupBy("tenant_id").applyInArrow(merge_tenant, _CF)
+    return _by_levels(once, rows, merge_salt, _CF).groupBy("tenant_id").applyInArrow(merge_tenant, _CF)
+
+
+def _by_levels(once: DataFrame, rows: DataFrame, merge, kind: str) -> DataFrame:
+    """What the tasks over rows gave, merged until at most FAN_IN parts of a tenant are left."""
+    parts = rows.rdd.getNumPartitions()
+    while parts > FAN_IN:
+        once = once.withColumn("salt", (F.col("salt") / FAN_IN).cast("int")).groupBy("tenant_id", "salt").applyInArrow(merge, kind)
+        parts = -(-parts // FAN_IN)
+    return once
 
 
 def _centres(features: DataFrame, k: int) -> DataFrame:
@@ -324,7 +335,7 @@ def _filled(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
-        salt = TaskContext.get().partitionId() % SALTS
+        salt = TaskContext.get().partitionId()
         for b in batches:
             tenant, ids, group, meta = (b.column(c).to_pylist() for c in ("tenant_id", "id", "group_no", "metadata"))
             for _, at, x in matrices(b):
@@ -357,7 +368,7 @@ def _filled(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
     given = rows.select("tenant_id", "id", "dim", "vec", "metadata").join(found.select("tenant_id", "id", "group_no"), ["tenant_id", "id"], "left")
     once = given.mapInArrow(pick, _FAR)
-    return once.groupBy("tenant_id", "salt").applyInArrow(merge_salt, _FAR).groupBy("tenant_id").applyInArrow(fill, "tenant_id string, group_no int, centre array<float>, id bigint")
+    return _by_levels(once, given, merge_salt, _FAR).groupBy("tenant_id").applyInArrow(fill, "tenant_id string, group_no int, centre array<float>, id bigint")
 
 
 def varied_subset(vectors: DataFrame, tenants: DataFrame, per_tenant: int = 32) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions.tenants import tenant_of
+from quiverlake.session import partitions_for, shuffle_partitions
 from quiverlake.session import written as written
 
 
@@ -29,9 +30,25 @@ def usable_rows(vectors: DataFrame, tenants: DataFrame, *extra: str) -> DataFram
     return rows.where((squares > 0) & (squares < F.lit(float("inf"))))
 
 
-def latest(rows: DataFrame) -> DataFrame:
+#: Vectors in one shuffle partition, about.
+PARTITION_ROWS = 400_000
+
+
+def partitions_of(vectors: DataFrame) -> int:
+    """Shuffle partitions for a table of vectors; counting its rows reads no columns."""
+    return partitions_for(vectors.sparkSession, vectors.count(), PARTITION_ROWS)
+
+
+def sized(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows hashed to n partitions by the keys by which they are grouped next, where the session's own
+    number would leave too many in each."""
+    return rows.repartition(n, *keys) if n > shuffle_partitions(rows.sparkSession) else rows
+
+
+def latest(rows: DataFrame, partitions: int = 0) -> DataFrame:
     """Of each (tenant_id, id) the row with the latest received_at (null is earliest; of equal
     ones the row whose vector hashes largest), in one shuffle of the rows."""
+    rows = sized(rows, partitions, "tenant_id", "id")
     order = Window.partitionBy("tenant_id", "id").orderBy(F.col("received_at").desc_nulls_last(), F.xxhash64("vec").desc())
     return rows.withColumn("q_rank", F.row_number().over(order)).where("q_rank = 1").drop("q_rank")
 
@@ -39,7 +56,7 @@ def latest(rows: DataFrame) -> DataFrame:
 def current_vectors(vectors: DataFrame, tenants: DataFrame, *extra: str) -> DataFrame:
     """tenant_id, id, vec, dim and ``extra`` of each id's current vector: its usable row with the
     latest received_at."""
-    return latest(usable_rows(vectors, tenants, *extra)).drop("received_at")
+    return latest(usable_rows(vectors, tenants, *extra), partitions_of(vectors)).drop("received_at")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:

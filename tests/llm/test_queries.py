@@ -10,7 +10,7 @@ DATA = "/root/testdata"
 pytestmark = pytest.mark.skipif(not os.path.isdir(f"{DATA}/sf0.001"), reason="the test tables are missing")
 
 
-@pytest.mark.parametrize("name, sf", [("p2_found", "sf0.001"), ("p2_found", "sf0.01"), ("p2_found", "sf0.1"), ("p2_recall", "sf0.01"), ("p4_found", "sf0.001"), ("p8_decoded", "sf0.001")])
+@pytest.mark.parametrize("name, sf", [("p2_found", "sf0.001"), ("p2_found", "sf0.01"), ("p2_found", "sf0.1"), ("p2_recall", "sf0.01"), ("p4_found", "sf0.001"), ("p8_decoded", "sf0.001"), ("p9_found", "sf0.01"), ("p4_described", "sf0.01")])
 def test_queries_equal_their_sql(spark, name, sf):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

@@ -190,12 +190,17 @@ def test_clusters_equal_brute_force(spark, node_rows):
         ids = [int(i) for i in rng.permutation(10_000)[: len(x)]]
         data += [(tenant, i, v) for i, v in zip(ids, x)]
         want |= {(tenant, *c) for c in cluster_truth(x.astype(np.float32), ids, 0.55)}
-    got = clusters.mutual_clusters(vectors(spark, data).repartition(4), tenants(spark, ("a", 24), ("b", 24), ("c", 24)), node_rows=node_rows).cache()
+    got = clusters.mutual_clusters(vectors(spark, data).repartition(4), tenants(spark, ("a", 24), ("b", 24), ("c", 24)), node_rows=node_rows, with_vec=True).cache()
     assert rows(got.select("tenant_id", "head_id", "id")) == sorted(want, key=repr) and len(want) > 600
     told = clusters.cluster_descriptions(got, 3).collect()
     sizes = {(t, h): sum(1 for w in want if w[:2] == (t, h)) for t, h, _ in want}
     assert {(r["tenant_id"], r["head_id"]): r["size"] for r in told} == sizes
-    assert all(1 <= len(r["typical_ids"]) <= 3 for r in told)
+    place = {(t, i): unit([v])[0] for t, i, v in data}
+    for r in told:
+        own = sorted(i for t, h, i in want if (t, h) == (r["tenant_id"], r["head_id"]))
+        x = np.array([place[r["tenant_id"], i] for i in own])
+        far = 1 - x @ unit([x.sum(0)])[0]
+        assert r["typical_ids"] == [own[k] for k in np.lexsort((own, far.round(9)))[:3]]
 
 
 @pytest.mark.parametrize("paired", [2, 128])
@@ -212,12 +217,12 @@ def test_clusters_of_loose_data(spark, monkeypatch, paired):
         assert all((u[leaf == k] @ u[leaf == k].T >= least).all(1).any() for k in range(len(centres)))
         sizes = np.bincount(leaf)
         edges = clusters._edges(u, leaf, centres, u, leaf, centres, least, True)
-        big = np.flatnonzero(sizes >= 3)
-        found = clusters.clusters_of(big, sizes[big], [(i, j, e, sizes[i], sizes[j]) for i, j, e in edges])
+        a, b, every = (np.array([e[k] for e in edges], bool if k == 2 else np.int64) for k in range(3))
+        found = clusters.clusters_of(sizes, a, b, every)
         got = {}
         for row, k in enumerate(leaf):
-            if int(k) in found:
-                got.setdefault(found[int(k)], []).append(row)
+            if found[k] >= 0:
+                got.setdefault(found[k], []).append(row)
         assert {(min(m), r) for m in got.values() for r in m} == cluster_truth(z, list(range(len(z))), 0.55)
 
 
@@ -273,6 +278,32 @@ def test_varied_subset_is_of_the_given_size(spark, parts):
         assert sum(r["group_size"] for r in mine) == len(x)
 
 
+def test_summaries_merge_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(subset, "FAN_IN", 2)
+    rng = np.random.default_rng(4)
+    x = unit(rng.normal(size=(40, 16)))[np.minimum(39, rng.integers(400, size=4000))] + 0.02 * rng.normal(size=(4000, 16))  # one group holds nine rows in ten
+    df = vectors(spark, [("a", i, v) for i, v in enumerate(x)]).withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    monkeypatch.setattr(subset, "current_vectors", lambda v, t, *e: current_vectors(v, t, *e).repartition(11))
+    got = subset.varied_subset(df, tenants(spark, ("a", 16)), 40).collect()
+    assert len(got) == 40 and sum(r["group_size"] for r in got) == 4000
+    u = unit(x)
+    far = lambda ids: (1 - (u @ u[ids].T).max(1)).mean()
+    assert far([r["id"] for r in got]) < 0.5 * far(rng.permutation(4000)[:40])
+
+
+def test_components():
+    rng = np.random.default_rng(2)
+    for n, e in ((1, 0), (50, 20), (300, 280), (300, 900)):
+        a, b = rng.integers(n, size=e), rng.integers(n, size=e)
+        top = list(range(n))
+        for _ in range(n):
+            for i, j in zip(a, b):
+                top[i] = top[j] = min(top[i], top[j])
+        assert clusters.components(n, a, b).tolist() == top
+    path = rng.permutation(20_000)
+    assert (clusters.components(20_000, path[:-1], path[1:]) == 0).all()
+
+
 def test_ward_cuts_at_k():
     c = np.array([[0, 0], [0, 1], [10, 0], [10, 1], [50, 0.0]])
     assert sorted(np.bincount(subset.ward(np.ones(5), c, 3)).tolist()) == [1, 2, 2] and len(set(subset.ward(np.ones(5), c, 5))) == 5
