@@ -313,7 +313,13 @@ def q_batch_violations(spark: SparkSession, d: str) -> DataFrame:
     return records.batch_violations(table(spark, d, "vectors"), table(spark, d, "tenants"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS client, ts, event_id AS request_id, epoch_us(ts) / 1000000.0::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT client, ts, request_id, s, n, true AS allowed, 0.0::DOUBLE AS tokens FROM e WHERE n = 1
+  UNION ALL SELECT e.client, e.ts, e.request_id, e.s, e.n, least(1.0, r.tokens + (e.s - r.s) * 0.001::DOUBLE) >= 1,
+   least(1.0, r.tokens + (e.s - r.s) * 0.001::DOUBLE) - CASE WHEN least(1.0, r.tokens + (e.s - r.s) * 0.001::DOUBLE) >= 1 THEN 1 ELSE 0 END FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1)
+ SELECT client, ts, request_id, allowed FROM r"""
+)
 def q_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     req = table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("ts"), F.col("event_id").alias("request_id"))
     return tenants.rate_limited(req, "client", "ts", 0.001)
