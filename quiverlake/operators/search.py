@@ -117,40 +117,45 @@ class KBest:
         self.q, self.k, self.metric = q, k, metric
         self.query, self.ids, self.score = np.zeros(0, np.int64), None, np.zeros(0)
         self.worst = np.full(len(q), np.inf)  # score of the k-th
-        size = np.sqrt((q * q).sum(1))
-        self.room = 1e-12 * (1 + size) ** 2  # for the rounding of products
+        self.room = self._room(q)
+
+    def _room(self, v: np.ndarray) -> np.ndarray:
+        """What rounding may add to a product with each row."""
+        return np.full(len(v), 1e-12) if self.metric == "cosine" else 1e-12 * (1 + (v * v).sum(1))
 
     def take(self, x: np.ndarray, ids: np.ndarray) -> None:
         """Compare all queries with rows x."""
         step = max(1, TILE_NUMBERS // max(1, len(x)))
-        longest = 1 + float(np.sqrt((x * x).sum(1).max(initial=0)))
+        room = self._room(x)
         found = []
         for at in range(0, len(self.q), step):
             tile = self.q[at : at + step]
             s = _scores(self.metric, tile, x)
             cut = self.worst[at : at + step]
             if len(x) > self.k:
-                cut = np.minimum(cut, np.partition(s, self.k - 1, axis=1)[:, self.k - 1])
-            slack = self.room[at : at + step] * longest**2
-            i, j = np.nonzero(s <= (cut + slack)[:, None])
-            for a in range(0, len(i), 1 << 18):
-                own, rows = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
-                found.append((at + own, rows, _exact(self.metric, tile[own], x[rows])))
-        if found:
-            query, rows, score = (np.concatenate(c) for c in zip(*found))
-            self._merge(query, ids[rows], score)
-
-    def _merge(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+                cut = np.minimum(cut, np.partition(s + room, self.k - 1, axis=1)[:, self.k - 1])
+            i, j = np.nonzero(s - room <= (cut + 2 * self.room[at : at + step])[:, None])
+            score = np.zeros(len(i))
+            for a in range(0, len(i), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                score[part] = _exact(self.metric, tile[i[part]], x[j[part]])
+            keep, _ = _k_first(at + i, ids[j], score, self.k)
+            found.append((at + i[keep], j[keep], score[keep]))
+        query, rows, score = (np.concatenate(c) for c in zip(*found))
+        new = ids[rows]
         if self.ids is not None:
-            query, ids, score = np.concatenate([self.query, query]), np.concatenate([self.ids, ids]), np.concatenate([self.score, score])
-        order = np.lexsort((ids, score, query))
-        query = query[order]
-        starts = np.flatnonzero(np.diff(query, prepend=-1))
-        place = np.arange(len(query)) - np.repeat(starts, np.diff(starts, append=len(query)))
-        keep = order[place < self.k]
-        self.query, self.ids, self.score = query[place < self.k], ids[keep], score[keep]
-        last = place == self.k - 1
-        self.worst[query[last]] = score[order[last]]
+            query, new, score = np.concatenate([self.query, query]), np.concatenate([self.ids, new]), np.concatenate([self.score, score])
+        keep, last = _k_first(query, new, score, self.k)
+        self.worst[query[last]] = score[last]
+        self.query, self.ids, self.score = query[keep], new[keep], score[keep]
+
+
+def _k_first(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k first of each query by (score, id), and of the k-th ones."""
+    order = np.lexsort((ids, score, query))
+    starts = np.flatnonzero(np.diff(query[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order)))
+    return order[place < k], order[place == k - 1]
 
 
 def knn_join(queries: DataFrame, collection: DataFrame, k: int, metric: str = "cosine", by: str | None = None) -> DataFrame:

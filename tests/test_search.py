@@ -57,6 +57,20 @@ def test_many_queries_take_bounded_memory():
     assert len(best.query) == 200_000 and peak < 400 << 20
 
 
+def test_lengths_of_every_size_and_masses_of_ties():
+    """A few huge vectors leave no room for others, and ten million tied pairs stay within tiles."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 8)) * 10.0 ** rng.integers(-3, 6, (3000, 1))
+    best = search.KBest(x[:200], 5, "l2")
+    best.take(x, np.arange(3000))
+    want = [np.lexsort((np.arange(3000), ((x - q) ** 2).sum(1)))[:5].tolist() for q in x[:200]]
+    assert best.ids.reshape(200, 5).tolist() == want
+    same = search.KBest(np.ones((2000, 4)), 3, "cosine")
+    for k in (1, 0):
+        same.take(np.ones((5000, 4)), np.arange(5000) + 5000 * k)
+    assert (same.ids.reshape(2000, 3) == [0, 1, 2]).all()
+
+
 def test_failed_shards_are_reported(spark):
     c = spark.range(20).select("id", F.array(F.col("id").cast("float")).alias("vec"))
     q = spark.createDataFrame([(0, [3.2])], "query_id int, vec array<float>")
