@@ -1,7 +1,7 @@
 """The records a run has to process after the last successful one (problem 7).
 
 A run rereads each log from the oldest run that was still open at the last success, and removes
-what was processed before by an anti join of (log, sequence) pairs against the ledger of processed
+what was processed before by grouping its (log, sequence) pairs with the ledger of processed
 pairs. The ledger is a table: a run's pairs are added when its work is done, so that a run that
 dies in between is repeated as a whole. The contiguity test is distributed too: a log that holds a
 third of all records is spread over all tasks by (log, sequence).
@@ -121,26 +121,30 @@ def due_records(log: DataFrame, runs: DataFrame, ledger: DataFrame | None = None
     With S the done_seq of the log (0 without a success) these are S+1, S+2, ... as far as the
     log holds them without a gap. log: tenant_id, shard, seq; further columns are ignored. Rows
     without shard or seq are no records. Repeated deliveries count once. ledger: processed pairs;
-    one of them is never due again, and counts as held in the test for gaps only if it lies at or
-    below S. Without a ledger nothing before S is reread. positions: last_success(runs), if at hand.
-    Empty tables give no rows.
+    one of them is never due again, and counts as held in the test for gaps. With a ledger the log is
+    reread from reread_from, and what it holds up to S that no run has noted is due too, whatever is
+    missing beside it. Without a ledger S stands for it: nothing up to S is due. positions:
+    last_success(runs), if at hand. Empty tables give no rows.
     """
     at = last_success(runs) if positions is None else positions
-    new = _placed(log, at) if ledger is None else _reread(log, at, ledger)
-    new = new.where("seq > done_seq")
-    # Each record marks itself as held, and its successor and the first seq due as possibly missing, so
-    # that one grouping by (log, seq) removes repeats and finds the ends of all contiguous stretches.
-    mark = lambda seq, here: F.struct(seq.alias("seq"), F.lit(here).alias("here"))
-    marks = new.select(*LOG, F.explode(F.array(mark(F.col("seq"), True), mark(F.col("seq") + 1, False), mark(F.col("done_seq") + 1, False))).alias("m"))
-    seqs = marks.select(*LOG, "m.seq", "m.here").groupBy(*LOG, "seq").agg(F.bool_or("here").alias("here"))
-    gaps = seqs.where(~F.col("here")).groupBy(*LOG).agg(F.min("seq").alias("first_gap"))
-    return seqs.where("here").join(gaps, LOG).where(F.col("seq") < F.col("first_gap")).select(*LOG, "seq")
+    held = _placed(log, at).where("seq > done_seq" if ledger is None else "seq > reread_from").withColumn("here", F.lit(True))
+    if ledger is not None:
+        held = held.unionByName(_placed(ledger, at).where("seq > reread_from").withColumn("here", F.lit(False)))
+    # Each record and each ledger pair marks itself, and what has to follow it and the first seq beyond S
+    # as possibly missing, so that one grouping by (log, seq) removes repeats and processed records and
+    # finds the ends of all contiguous stretches beyond S.
+    mark = lambda seq, here, noted: F.struct(seq.alias("seq"), here.alias("here"), noted.alias("noted"))
+    no = F.lit(False)
+    own, after = mark(F.col("seq"), F.col("here"), ~F.col("here")), mark(F.greatest(F.col("seq"), F.col("done_seq")) + 1, no, no)
+    marks = held.select(*LOG, F.explode(F.array(own, after, mark(F.col("done_seq") + 1, no, no))).alias("m"))
+    seqs = marks.select(*LOG, "m.*").groupBy(*LOG, "seq").agg(F.bool_or("here").alias("here"), F.bool_or("noted").alias("noted"))
+    gaps = seqs.where("NOT here AND NOT noted").groupBy(*LOG).agg(F.min("seq").alias("first_gap"))
+    return seqs.where("here AND NOT noted").join(gaps, LOG).where(F.col("seq") < F.col("first_gap")).select(*LOG, "seq")
 
 
 def late_records(log: DataFrame, runs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(tenant_id, shard, seq), each once, of records at or before the last success that no run has
-    processed: delivered after the runs had passed them. They are not due, as snapshots count by
-    their seq, but a caller may want them."""
+    """(tenant_id, shard, seq), each once, of the due records at or before the last success: delivered
+    after the runs had passed them, or of a run whose note was lost."""
     return _reread(log, last_success(runs), ledger).where("seq <= done_seq").select(*LOG, "seq").distinct()
 
 

@@ -236,6 +236,21 @@ def test_a_crash_between_work_and_ledger_neither_skips_nor_repeats(spark):
     assert ledger.runs() == [9] and rows(ledger.pairs()) == [("b", 1, 1), ("b", 1, 2)]
 
 
+def test_the_reread_records_that_no_run_has_noted_are_due(spark):
+    from quiverlake.operators.incremental import covered_records
+
+    seqs = "tenant_id string, shard int, seq bigint"
+    log = spark.createDataFrame([("a", 1, s) for s in (1, 2, 3, 4, 4, 5, 7, 8, 10)] + [("b", 1, s) for s in range(1, 8)] + [("c", 1, 1)], seqs)
+    # The note of a's second run was lost, and that of b's second run, which failed later, was kept.
+    runs = spark.createDataFrame([("a", 1, 1, 3, "ok"), ("a", 1, 2, 6, "ok"), ("b", 1, 1, 3, "ok"), ("b", 1, 2, 5, "failed")], RUNS)
+    runs = runs.withColumn("finished_at", F.lit("2024-01-01").cast("timestamp")).withColumn("started_at", F.timestamp_seconds(F.lit(1.7e9) + F.col("run_no")))
+    noted = spark.createDataFrame([("a", 1, s) for s in (1, 2, 3)] + [("b", 1, s) for s in (1, 2, 3, 4, 5)] + [("x", 1, 1)], seqs)
+    new = [("a", 1, 7), ("a", 1, 8), ("b", 1, 6), ("b", 1, 7), ("c", 1, 1)]
+    assert rows(due_records(log, runs, noted)) == [("a", 1, 4), ("a", 1, 5), *new]
+    at = last_success(runs)
+    assert rows(due_records(log, runs, noted.unionByName(covered_records(log, at)))) == new
+
+
 def test_due_records_empty(spark):
     log = spark.createDataFrame([], "tenant_id string, shard int, seq bigint")
     runs = spark.createDataFrame([], RUNS)
