@@ -13,11 +13,13 @@ probability a / pi whatever the data are, so that 256 bits of pairs at cosine di
 in 11.5 bits on average and in more than 31 once in about ten million pairs. Pairs of 32 to
 PAIR_BITS bits are taken too if some substring finds them, as nearly always.
 
-Tenants with more than BLOCK_ROWS vectors are split into blocks by the signs of their first
-principal coordinates. A vector near a split plane also goes to the block on the plane's lower
-side; as coordinates differ by no more than the distance of the vectors, two vectors within the
-given distance always meet in one block. Queries for the k nearest go to every block that their
-k-th distance so far doesn't rule out.
+Close pairs of more than CELL_ROWS vectors are sought cell by cell (see cells), as the vectors of a
+tenant come in groups, within which one code for all of them tells little apart. Of a tenant with
+more than BLOCK_ROWS vectors only the codes go to the cells' tasks, and the found pairs are settled
+by their floats afterwards; a smaller one goes to one task with its floats.
+
+For the k nearest, tenants with more than BLOCK_ROWS vectors are split into blocks by the signs of their first
+principal coordinates. Queries go to every block that their k-th distance so far doesn't rule out.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiverlake.llm.cells import CELL_BITS, Cells, cell_pairs, learn_cells, margin_of
 from quiverlake.llm.vectors import current_vectors, latest, matrices, matrix, partitions_of, sized, unit, usable_rows, written
 from quiverlake.operators.sampling import hashed_sample
 
@@ -40,6 +43,13 @@ SAMPLE_ROWS = 8192
 BLOCK_ROWS = 32768
 #: Bits by which a tenant is split at most.
 MAX_SPLIT = 24
+#: Vectors beyond which close pairs are sought cell by cell.
+CELL_ROWS = 4096
+#: Rows of the sample from which a tenant's cells are learned, and of all these samples together.
+CELL_SAMPLE = 8192
+CELL_SAMPLES = 200_000
+#: Candidates that are sent to all executors, to pick the rows by which they are settled.
+SENT_IDS = 1_000_000
 SUBSTRING = 16
 #: Bits of a code, a multiple of 64.
 BITS = 256
@@ -310,12 +320,29 @@ def coded_pairs(x: np.ndarray, limit: float, rotation: Rotation) -> Iterator[tup
     Where even the codes would give more than DENSE_SHARE of all pairs (thousands of rows in one
     narrow cone), products of the rows give them at less cost.
     """
+    if len(x) > CELL_ROWS:
+        return _pairs_by_cells(x, limit)
     index = CodeIndex(rotation.codes(x, rotation.keeps(x, limit)))
     if index.expected() > DENSE_SHARE * len(x) ** 2 / 2:
         return close_pairs(x, limit)
     return index.pairs(PAIR_BITS)
 
 
+def _pairs_by_cells(x: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    margin = margin_of(limit)
+    cells = learn_cells(x[np.random.default_rng(5).permutation(len(x))[:CELL_SAMPLE]], len(x), margin)
+    for at, cell in zip(cells.place(x), cells.cells):
+        own = x[at]
+        if cell.coded:
+            far = cell.distances(own)
+            core = np.flatnonzero(far < cell.inner + margin)
+            a, b = cell_pairs(cell.codes(own), core, own[core], far[core] < cell.inner, cell, limit)
+            yield at[a], at[b]
+        else:
+            for a, b in close_pairs(own, limit):
+                yield at[a], at[b]
+
+
 def nearest_within(x: np.ndarray, ids: np.ndarray, limit: float, rotation: Rotation) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the id of its nearest other row (-1 without one) at cosine distance up to
     limit, and that distance. Ties go to the smallest id.
@@ -453,6 +480,105 @@ def _blocked(rows: DataFrame, rotations: dict[int, Rotation], budget, one_way: b
 _PAIR = "tenant_id string, id bigint, near_id bigint, distance double"
 
 
+def _learn_cells(rows: DataFrame, block_rows: int, limit: float) -> dict[str, Cells]:
+    """The cells of each tenant with more than block_rows rows."""
+    sizes = {r["tenant_id"]: r["n"] for r in rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).collect()}
+    if not sizes:
+        return {}
+    each = max(1, min(CELL_SAMPLE, CELL_SAMPLES // len(sizes)))
+    part = rows.sparkSession.createDataFrame([(t, min(1 << 30, int(each / n * (1 << 30)) + 1)) for t, n in sizes.items()], "tenant_id string, q_part int")
+    picked = rows.join(F.broadcast(part), "tenant_id").where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < F.col("q_part"))
+    found = {t: learn_cells(np.zeros((0, 1), np.float32), n, margin_of(limit)) for t, n in sizes.items()}
+    for own in picked.select("tenant_id", "dim", "vec").toArrow().combine_chunks().to_batches():
+        names = own.column("tenant_id").to_numpy(zero_copy_only=False)
+        for t in np.unique(names):
+            at = np.flatnonzero(names == t)
+            x = matrix(own.column("vec").take(pa.array(at)), own.column("dim")[int(at[0])].as_py())
+            found[t] = learn_cells(unit(x), sizes[t], margin_of(limit))
+    return found
+
+
+def _celled(rows: DataFrame, cells: dict[str, Cells]) -> DataFrame:
+    """tenant_id, block, dim, id, copy (a hash of the vector), vec, code and inner of current rows in
+    each cell that they meet. Rows of coded cells have a vec only in the core; other rows have no code."""
+    given = rows.select("tenant_id", F.col("dim").cast("int").alias("dim"), "id", F.xxhash64("vec").alias("copy"), "vec")
+    if not cells:
+        return given.withColumns({"block": F.lit(0), "code": F.lit(b""), "inner": F.lit(False)})
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column("tenant_id").to_numpy(zero_copy_only=False)
+            parts = [(np.flatnonzero(~np.isin(names, list(shared.value))), 0, None, None)]
+            for t in set(names) & set(shared.value):
+                own = np.flatnonzero(names == t)
+                x = unit(matrix(b.column("vec").take(pa.array(own)), b.column("dim")[int(own[0])].as_py()))
+                for k, at in enumerate(shared.value[t].place(x)):
+                    cell = shared.value[t].cells[k]
+                    parts.append((own[at], k, cell.codes(x[at]), cell.distances(x[at]) - cell.inner) if cell.coded and len(at) else (own[at], k, None, None))
+            src = np.concatenate([p[0] for p in parts])
+            far = np.concatenate([np.full(len(p[0]), -np.inf) if p[3] is None else p[3] for p in parts])
+            coded = np.repeat([p[2] is not None for p in parts], [len(p[0]) for p in parts])
+            code = b"".join(p[2].tobytes() for p in parts if p[2] is not None)
+            ends = np.concatenate([[0], np.cumsum(coded * (CELL_BITS // 8))]).astype(np.int32)
+            rest = {
+                "vec": b.column("vec").take(pa.array(src, mask=far >= margin)),
+                "block": pa.array(np.repeat([p[1] for p in parts], [len(p[0]) for p in parts]).astype(np.int32)),
+                "code": pa.Array.from_buffers(pa.binary(), len(src), [None, pa.py_buffer(ends), pa.py_buffer(code)]),
+                "inner": pa.array(coded & (far < 0)),
+            }
+            yield pa.RecordBatch.from_pydict({k: b.column(k).take(pa.array(src)) for k in ("tenant_id", "dim", "id", "copy")} | rest)
+
+    margin = next(iter(cells.values())).margin
+    return given.mapInArrow(run, "tenant_id string, dim int, id bigint, copy bigint, vec array<float>, block int, code binary, inner boolean")
+
+
+def _candidates(t: pa.Table, cells: Cells, block: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, near_id, distance) of a coded cell: copies, and with a NaN what is to be settled."""
+    t = t.combine_chunks()
+    ids = t.column("id").to_numpy()
+    code = t.column("code").chunk(0)
+    begin, end = np.frombuffer(code.buffers()[1], np.int32)[[code.offset, code.offset + len(code)]]
+    codes = np.frombuffer(code.buffers()[2], np.uint8)[begin:end].view(np.uint64).reshape(len(ids), -1)
+    copy = t.column("copy").to_numpy()
+    order = np.lexsort((ids, codes[:, 0], copy))
+    same = (np.diff(copy[order]) == 0) & (codes[order[1:], 0] == codes[order[:-1], 0])
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    counts = np.diff(first, append=len(ids))
+    heads, many = order[first], counts > 1
+    others = np.delete(order, first)
+    vec = t.column("vec").chunk(0)
+    held = np.flatnonzero(vec.is_valid().to_numpy(zero_copy_only=False)[heads])
+    x = unit(matrix(vec.take(pa.array(heads[held])), t.column("dim")[0].as_py()))
+    inner = t.column("inner").to_numpy()[heads[held]]
+    a, b = cell_pairs(codes[heads], held, x, inner, cells.cells[block], limit)
+    own = ids[np.concatenate([heads[many], others, heads[a]])]
+    near = ids[np.concatenate([order[first[many] + 1], np.repeat(heads, counts - 1), heads[b]])]
+    return own, near, np.concatenate([np.zeros(many.sum() + len(others)), np.full(len(a), np.nan)])
+
+
+def _settled(open_: DataFrame, rows: DataFrame, limit: float) -> DataFrame:
+    """The pairs (tenant_id, id, near_id), both ways and with their distance, that are within limit."""
+    pairs = open_.select("tenant_id", F.col("id").alias("q_a"), F.col("near_id").alias("q_b")).distinct()
+    ends = pairs.withColumn("id", F.explode(F.array("q_a", "q_b")))
+    wanted = ends.select("tenant_id", "id").distinct()
+    few = wanted.count() <= SENT_IDS
+    picked = latest(rows.join(F.broadcast(wanted) if few else wanted, ["tenant_id", "id"], "left_semi")).select("tenant_id", "id", "dim", "vec")
+    vec = lambda c: F.first(F.when(F.col("id") == F.col(c), F.col("vec")), ignorenulls=True)
+    both = ends.join(picked, ["tenant_id", "id"]).groupBy("tenant_id", "q_a", "q_b").agg(F.first("dim").alias("dim"), vec("q_a").alias("a"), vec("q_b").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for (dim, at, x), (_, _, y) in zip(matrices(t, "a"), matrices(t, "b")):
+                d = cosine_distances(_wide(x), _wide(y))
+                at, d = at[d <= limit], d[d <= limit]
+                name, a, b = (t.column(c).take(pa.array(at)) for c in ("tenant_id", "q_a", "q_b"))
+                for p, q in ((a, b), (b, a)):
+                    yield pa.RecordBatch.from_pydict({"tenant_id": name, "id": p, "near_id": q, "distance": pa.array(d)})
+
+    return both.mapInArrow(run, _PAIR)
+
+
 def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(tenant_id, id, near_id, distance): of each current vector its nearest other one of the
     tenant, if it is at cosine distance up to limit; ties go to the smallest id.
@@ -463,26 +589,33 @@ def near_pairs(vectors: DataFrame, tenants: DataFrame, limit: float = 0.01, bloc
     """
     if not 0 <= limit <= 0.01:
         raise ValueError("limit must be from 0 to 0.01")
-    margin = float(np.sqrt(2 * limit)) * 1.0001
     rows = usable_rows(vectors, tenants)
-    rotations = learn_rotations(rows, margin)
+    rotations = learn_rotations(rows, float(np.sqrt(2 * limit)) * 1.0001)
     if not rotations:
         return rows.sparkSession.createDataFrame([], _PAIR)
-    shared = rows.sparkSession.sparkContext.broadcast(rotations)
-    # Blocks come before the choice of the latest row, so that rows meet Python once.
-    placed = _blocked(rows.join(_splits(rows, block_rows), "tenant_id"), rotations, F.lit(margin**2), True)
+    cells = _learn_cells(rows, block_rows, limit)
+    shared = rows.sparkSession.sparkContext.broadcast((rotations, cells))
     n = partitions_of(vectors)
-    placed = latest(placed, n).select("tenant_id", F.explode("blocks").alias("block"), "dim", "id", "vec")
+    placed = _celled(latest(rows, n), cells)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        dim = t.column("dim")[0].as_py()
-        x = matrix(t.column("vec"), dim)
-        ids = t.column("id").to_numpy()
-        who, best = nearest_within(x, ids, limit, shared.value[dim])
-        hit = np.flatnonzero(np.isfinite(best))
-        return pa.table({"tenant_id": t.column("tenant_id").take(pa.array(hit)), "id": ids[hit], "near_id": who[hit], "distance": best[hit]})
+        rotations, cells = shared.value
+        tenant, block = key[0].as_py(), key[1].as_py()
+        if tenant in cells and cells[tenant].cells[block].coded:
+            own, near, distance = _candidates(t, cells[tenant], block, limit)
+        else:
+            dim = t.column("dim")[0].as_py()
+            ids = t.column("id").to_numpy()
+            who, best = nearest_within(matrix(t.column("vec"), dim), ids, limit, rotations[dim])
+            hit = np.flatnonzero(np.isfinite(best))
+            own, near, distance = ids[hit], who[hit], best[hit]
+        return pa.table({"tenant_id": pa.array([tenant] * len(own), pa.string()), "id": own, "near_id": near, "distance": distance})
 
     found = sized(placed, n, "tenant_id", "block").groupBy("tenant_id", "block").applyInArrow(run, _PAIR)
+    if cells:
+        found = written(found, "near-pairs")
+        open_ = F.isnan("distance")
+        found = found.where(~open_).unionByName(_settled(found.where(open_), rows, limit))
     nearest = found.groupBy("tenant_id", "id").agg(F.min(F.struct("distance", "near_id")).alias("m"))
     return nearest.select("tenant_id", "id", F.col("m.near_id").alias("near_id"), F.col("m.distance").alias("distance"))
 

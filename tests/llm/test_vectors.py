@@ -75,6 +75,35 @@ def test_mutual_pairs_equal_brute_force(spark, block_rows):
     assert got == sorted(want, key=repr) and len(want) > 50
 
 
+def test_pairs_of_a_large_tenant_are_sought_in_small_cells(spark, monkeypatch):
+    """Groups that planes can't halve: the codes tell nearly all pairs of a group apart."""
+    from quiverlake.llm import cells
+
+    rng = np.random.default_rng(6)
+    x = groups(rng, 12_000, 32, 6, 0.6)
+    close = rng.permutation(12_000)[:600]
+    x = np.vstack([x, (unit(x[close]) + rng.uniform(0.001, 0.13, (600, 1)) * unit(rng.normal(size=(600, 32)))).astype(np.float32), x[:20], 2 * x[20:30]])
+    ids = rng.permutation(100_000)[: len(x)]
+    u = unit(x).astype(np.float32)
+    monkeypatch.setattr(cells, "LOOKUP_NS", 0.01)
+    monkeypatch.setattr(cells, "CODE_NS", 0.01)
+    tree = cells.learn_cells(u[:4096], len(u), cells.margin_of(0.01))
+    placed = tree.place(u)
+    assert all(c.coded for c in tree.cells) and len(placed) >= 6 and sum(map(len, placed)) < 1.2 * len(u) and max(map(len, placed)) < 0.3 * len(u)
+    monkeypatch.setattr(cells, "CHUNK", 1000)
+    for at, cell in zip(placed, tree.cells):
+        got = sum(len(a) for a, _ in cells.code_pairs(cell.codes(u[at]), cell, tree.margin))
+        assert got < 0.02 * len(at) ** 2 / 2
+    data = [("a", int(i), v) for i, v in zip(ids, x)] + [("b", i, v) for i, v in enumerate(x[:50, :8])]
+    got = rows(mih.near_pairs(vectors(spark, data).repartition(5), tenants(spark, ("a", 32), ("b", 8)).withColumn("dim", F.col("dim").cast("bigint")), block_rows=1000).where("tenant_id = 'a'").select("id", "near_id", "distance"))
+    d = np.round(1 - unit(x.astype(np.float64)) @ unit(x.astype(np.float64)).T, 12)
+    np.fill_diagonal(d, 9)
+    some = np.flatnonzero(d.min(1) <= 0.01)
+    row = {int(k): i for i, k in enumerate(ids)}
+    assert {r[0] for r in got} == {int(ids[i]) for i in some} and len(got) == len(some) > 1000
+    assert all(abs(d[row[i], row[j]] - d[row[i]].min()) < 1e-11 and abs(far - d[row[i]].min()) < 1e-11 for i, j, far in got)
+
+
 @pytest.mark.parametrize("n, dim, decay, apart", [(25, 64, 0.0, 0.1), (61, 64, 0.0, 0.1), (2500, 64, 1.5, 0.1), (2500, 64, 3.0, 0.05), (1200, 8, 0.0, 0.1)])
 def test_pairs_of_few_rows_and_low_rank(n, dim, decay, apart):
     rng = np.random.default_rng(n)
